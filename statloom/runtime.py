@@ -14,6 +14,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,3 +93,8 @@ def lookup(
 def scalars(df: DataFrame) -> dict:
     """The single row of a global aggregate as a dict."""
     return df.first().asDict()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name on the shared storage, for files that are written and read back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/statloom-{uuid.uuid4().hex}"
