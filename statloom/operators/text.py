@@ -13,6 +13,12 @@ from statloom.runtime import lookup
 
 NO_TOPIC = "NO_TOPIC"
 
+# Frequent English function words.
+STOP_WORDS = (
+    "a an and are as at be been but by for from had has have he her his i in is it its not of on or our she so that the "
+    "their them there they this to was we were which will with you your"
+).split()
+
 
 def primary_topic(topics: Column) -> Column:
     """First topic of a list, or a fixed mark."""
@@ -58,6 +64,7 @@ def sentence_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def english_stop_words() -> list[str]:
+    """Spark's own longer list; needs a running session."""
     return StopWordsRemover.loadDefaultStopWords("english")
 
 

@@ -209,7 +209,15 @@ def q_oversample(spark, sf):
     return cleaning.oversample(table(spark, sf, "labels").select("doc_id", "toxic"), "toxic")
 
 
-@query()
+@query("""
+SELECT 'lineitem' AS dataset, column_name AS variable,
+       CASE WHEN column_name = 'l_returnflag' THEN 'target' WHEN column_name = 'l_shipdate' THEN 'datetime'
+            WHEN column_name = 'l_linestatus' THEN 'qualitative' WHEN column_type = 'VARCHAR' THEN 'qualitative'
+            ELSE 'quantitative_continuous_or_ordinal' END AS type,
+       CASE WHEN column_name = 'l_returnflag' THEN 'target' WHEN column_name = 'l_shipdate' THEN 'time_index' ELSE 'feature' END AS role,
+       NULL::VARCHAR AS description, column_name IN ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax') AS selected
+FROM (DESCRIBE lineitem)
+""")
 def q_variable_types(spark, sf):
     data = Dataset("lineitem", "l_returnflag", COLS, ["l_linestatus"], time="l_shipdate")
     return variable_types(table(spark, sf, "lineitem"), data)

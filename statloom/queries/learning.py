@@ -1 +1,323 @@
-"""Queries to come."""
+"""Scores, models and clusterings."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from statloom.functions.scalars import sentences, word_count
+from statloom.learning import clusters, metrics, models
+from statloom.operators import sampling, series
+from statloom.operators.describe import stack
+from statloom.queries.charts import persistence
+from statloom.queries.registry import query, table
+
+RULED = """
+t AS (SELECT l.quality AS actual, CAST(length(d.text) >= 500 AS INTEGER) AS predicted FROM labels l JOIN documents d USING (doc_id))
+"""
+STATUS = """
+t AS (SELECT o_orderstatus AS actual,
+             CASE WHEN o_totalprice > 300000 THEN 'F' WHEN o_totalprice > 150000 THEN 'O' ELSE 'P' END AS predicted FROM orders)
+"""
+HOURS = """
+h AS (SELECT event_type, date_trunc('hour', ts) AS hour_start, avg(value) AS y FROM events GROUP BY ALL),
+l AS (SELECT *, lag(y, 1) OVER w AS x1, lag(y, 2) OVER w AS x2 FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour_start)),
+s AS (SELECT event_type, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2,
+             covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM l WHERE x2 IS NOT NULL GROUP BY event_type),
+e AS (SELECT event_type, arg_max(y, hour_start) AS y_last, arg_max(x1, hour_start) AS y_before FROM l GROUP BY event_type),
+fit AS (SELECT event_type, n, my - m1 * (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) - m2 * (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS intercept,
+               (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS a1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS a2, y_last, y_before
+        FROM s JOIN e USING (event_type))
+"""
+DIMS = ["x1", "x2", "x3", "x4", "x5", "x6"]
+NUMBERS = ["n_chars", "word_count", "sentences"]
+LABELS = ["lang", "source"]
+LAGGED = ["hour", "dayofweek", "is_weekend", "lag_1", "lag_24", "rolling_mean_24"]
+
+
+def ruled(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", (F.char_length("text") >= 500).cast("int").alias("predicted"))
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").alias("actual")).join(docs, "doc_id")
+
+
+def status(spark, sf):
+    price = F.col("o_totalprice")
+    rule = F.when(price > 300000, "F").when(price > 150000, "O").otherwise("P")
+    return table(spark, sf, "orders").select(F.col("o_orderstatus").alias("actual"), rule.alias("predicted"))
+
+
+def points(spark, sf, dims=6):
+    arr = F.col("embedding")
+    cols = [F.get(arr, i).cast("double").alias(f"x{i + 1}") for i in range(dims)]
+    return table(spark, sf, "embeddings").select("vec_id", "label", *cols)
+
+
+def labelled_documents(spark, sf):
+    """Document features with the quality label, split within each class."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        word_count(F.col("text")).cast("double").alias("word_count"),
+        sentences(F.col("text")).cast("double").alias("sentences"),
+        *LABELS,
+    )
+    rows = docs.join(table(spark, sf, "labels"), "doc_id")
+    return sampling.stratified_split(rows, "doc_id", "quality")
+
+
+def prepared_documents(spark, sf, scale=True):
+    train, test, _ = models.prepare(labelled_documents(spark, sf), F.col("quality"), NUMBERS, LABELS, scale=scale)
+    return train, test
+
+
+def hourly_rows(spark, sf):
+    """The hourly series with calendar and lag features, split by time."""
+    hours = series.hourly(table(spark, sf, "events"), "ts", ["value"])
+    rows = series.lag_features(hours, "value", ["hour_start"], [1, 24], 24).dropna()
+    rows = series.calendar(rows, "hour_start").drop("month")
+    rows = rows.withColumn("hour_key", F.unix_seconds(F.col("hour_start").cast("timestamp")))
+    return series.time_split(rows, "hour_start", "hour_key")
+
+
+def prepared_hours(spark, sf, scale=True):
+    rows = hourly_rows(spark, sf).withColumns({c: F.col(c).cast("double") for c in LAGGED})
+    train, test, _ = models.prepare(rows, F.col("value"), LAGGED, [], scale=scale)
+    return train, test
+
+
+def scored_regressor(spark, sf, name, **sizes):
+    train, test = prepared_hours(spark, sf, scale=name == "linear_regression")
+    rows, _ = models.predictions(train, test, {name: models.regressors(**sizes)[name]}, ["hour_start"])
+    return models.regression_scores(rows, "hourly events")
+
+
+@query(f"""
+WITH {RULED}, p AS (SELECT a.v AS actual, b.v AS predicted FROM (VALUES (0), (1)) a(v), (VALUES (0), (1)) b(v))
+SELECT actual, predicted, count(t.actual) AS count FROM p LEFT JOIN t USING (actual, predicted) GROUP BY actual, predicted
+""")
+def q_confusion_matrix(spark, sf):
+    return metrics.confusion(ruled(spark, sf), "actual", "predicted", [0, 1])
+
+
+@query(f"""
+WITH {RULED}, c AS (SELECT count(*) AS n, count(*) FILTER (actual = predicted) AS r, count(*) FILTER (actual = 1 AND predicted = 1) AS tp,
+  count(*) FILTER (actual = 0 AND predicted = 1) AS fp, count(*) FILTER (actual = 1 AND predicted = 0) AS fn FROM t)
+SELECT n, r / n::DOUBLE AS accuracy, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision,
+       coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM c
+""")
+def q_binary_metrics(spark, sf):
+    return metrics.binary_metrics(ruled(spark, sf), "actual", "predicted")
+
+
+CLASS_SQL = f"""
+WITH {STATUS}, k AS (SELECT DISTINCT actual AS class FROM t UNION SELECT DISTINCT predicted FROM t),
+c AS (SELECT class, count(*) FILTER (actual = class) AS support, count(*) FILTER (predicted = class) AS named,
+             count(*) FILTER (actual = class AND predicted = class) AS tp FROM k, t GROUP BY class),
+m AS (SELECT class, support, coalesce(tp / nullif(named, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(support, 0)::DOUBLE, 0) AS recall,
+             coalesce(2 * tp / nullif(named + support, 0)::DOUBLE, 0) AS f1, tp FROM c)
+"""
+
+
+@query(f"{CLASS_SQL} SELECT * EXCLUDE (tp) FROM m")
+def q_class_metrics(spark, sf):
+    return metrics.per_class(status(spark, sf), "actual", "predicted")
+
+
+@query(f"""
+{CLASS_SQL}
+SELECT sum(support)::BIGINT AS n, sum(tp)::DOUBLE / sum(support)::DOUBLE AS accuracy, avg(precision) AS macro_precision,
+       avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM m
+""")
+def q_macro_metrics(spark, sf):
+    return metrics.macro_metrics(status(spark, sf), "actual", "predicted")
+
+
+@query("""
+WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour_start, avg(value) AS y FROM events GROUP BY ALL),
+l AS (SELECT *, lag(y) OVER (PARTITION BY event_type ORDER BY hour_start) AS p FROM h),
+t AS (SELECT * FROM l WHERE p IS NOT NULL)
+SELECT event_type, count(*) AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p) / greatest(y, 1)) * 100 AS mape,
+       1 - sum((y - p) ** 2) / nullif(var_pop(y) * count(*), 0) AS r2, stddev_samp(y) AS std_actual, stddev_samp(p) AS std_predicted
+FROM t GROUP BY event_type
+""")
+def q_regression_metrics(spark, sf):
+    return metrics.regression_metrics(persistence(spark, sf), "actual", "predicted", ["event_type"])
+
+
+@query("""
+SELECT label, avg(embedding[1]::DOUBLE) AS x1, avg(embedding[2]::DOUBLE) AS x2, count(*) AS n,
+       avg(CAST(embedding[3] > 0 AS INTEGER)) * 100 AS share_percent FROM embeddings GROUP BY label
+""")
+def q_cluster_profile(spark, sf):
+    return clusters.profile(points(spark, sf), "label", ["x1", "x2"], F.col("x3") > 0)
+
+
+@query("""
+WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+c AS (SELECT label AS other, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS ss FROM p GROUP BY label),
+d AS (SELECT vec_id, label, other, n, greatest((n * (x * x + y * y) - 2 * (x * sx + y * sy) + ss) / CASE WHEN other = label THEN greatest(n - 1, 1) ELSE n END, 0) AS dist FROM p, c),
+ab AS (SELECT vec_id, label, max(dist) FILTER (other = label) AS a, min(dist) FILTER (other <> label) AS b,
+              max(n) FILTER (other = label) AS n FROM d GROUP BY vec_id, label)
+SELECT vec_id, label, CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS silhouette FROM ab
+""")
+def q_silhouette(spark, sf):
+    return clusters.point_silhouettes(points(spark, sf), "vec_id", ["x1", "x2"], "label")
+
+
+@query("""
+SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept,
+       regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY l_returnflag
+""")
+def q_simple_regression(spark, sf):
+    return models.simple_regression(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+
+
+@query(f"WITH {HOURS} SELECT * FROM fit")
+def q_ar_fit(spark, sf):
+    hours = series.hourly(table(spark, sf, "events"), "ts", ["value"], ["event_type"])
+    return models.ar2_fit(hours, "value", ["hour_start"], ["event_type"])
+
+
+@query(f"""
+WITH RECURSIVE {HOURS},
+f AS (SELECT event_type, 1 AS step, intercept + a1 * y_last + a2 * y_before AS forecast, y_last AS prev FROM fit
+      UNION ALL
+      SELECT f.event_type, f.step + 1, intercept + a1 * f.forecast + a2 * f.prev, f.forecast FROM f JOIN fit USING (event_type) WHERE f.step < 24)
+SELECT event_type, step, forecast FROM f
+""")
+def q_ar_forecast(spark, sf):
+    return models.ar2_forecast(q_ar_fit(spark, sf), 24, ["event_type"])
+
+
+@query("""
+WITH s AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2,
+  covar_pop(l_quantity, l_discount) AS c12, covar_pop(l_quantity, l_extendedprice) AS c1, covar_pop(l_discount, l_extendedprice) AS c2 FROM lineitem),
+a AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS a1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS a2 FROM s)
+SELECT 'intercept' AS term, my - m1 * a1 - m2 * a2 AS coefficient FROM a
+UNION ALL SELECT 'l_quantity', a1 FROM a UNION ALL SELECT 'l_discount', a2 FROM a
+""")
+def q_linreg(spark, sf):
+    names = ["l_quantity", "l_discount"]
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(table(spark, sf, "lineitem"))
+    model = LinearRegression(labelCol="l_extendedprice", solver="normal").fit(rows)
+    values = [("intercept", float(model.intercept)), *zip(names, map(float, model.coefficients))]
+    return spark.createDataFrame(values, "term string, coefficient double")
+
+
+@query()
+def q_linreg_scores(spark, sf):
+    return scored_regressor(spark, sf, "linear_regression")
+
+
+@query()
+def q_rf_regressor(spark, sf):
+    return scored_regressor(spark, sf, "random_forest")
+
+
+@query()
+def q_gbt_regressor(spark, sf):
+    return scored_regressor(spark, sf, "boosted_trees")
+
+
+@query()
+def q_predictions(spark, sf):
+    train, test = prepared_hours(spark, sf)
+    chosen = {k: v for k, v in models.regressors().items() if k != "boosted_trees"}
+    return models.predictions(train, test, chosen, ["hour_start"])[0]
+
+
+@query()
+def q_feature_importance(spark, sf):
+    train, _ = prepared_hours(spark, sf, scale=False)
+    fitted = models.regressors()["random_forest"].fit(train)
+    return models.importances(fitted, LAGGED, train)
+
+
+@query()
+def q_ml_features(spark, sf):
+    train, test = prepared_documents(spark, sf)
+    return train.unionByName(test).select("doc_id", "split", "label", vector_to_array("features").alias("features"))
+
+
+def scored_classifier(spark, sf, name):
+    train, test = prepared_documents(spark, sf)
+    return models.classification_scores(train, test, "document quality", [name])
+
+
+@query()
+def q_logreg(spark, sf):
+    return scored_classifier(spark, sf, "logistic_regression")
+
+
+@query()
+def q_rf_classifier(spark, sf):
+    return scored_classifier(spark, sf, "random_forest")
+
+
+@query()
+def q_rff_svm(spark, sf):
+    return scored_classifier(spark, sf, "svm_rbf")
+
+
+@query()
+def q_three_class(spark, sf):
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.weekday("o_orderdate").cast("double").alias("day")
+    )
+    rows = sampling.stratified_split(orders, "o_orderkey", "o_orderstatus")
+    code = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    train, test, _ = models.prepare(rows, code, ["o_totalprice", "day"], ["o_orderpriority"])
+    return models.classification_scores(train, test, "order status", ["logistic_regression", "svm_rbf"], classes=3)
+
+
+@query()
+def q_model_comparison(spark, sf):
+    train, test = prepared_documents(spark, sf)
+    scores = models.classification_scores(train, test, "document quality", ["logistic_regression", "random_forest"])
+    regression = [scored_regressor(spark, sf, n) for n in ("linear_regression", "random_forest")]
+    return stack([scores, *regression], fill_missing=True)
+
+
+def scaled_points(spark, sf):
+    return clusters.scaled_features(points(spark, sf), DIMS)
+
+
+@query()
+def q_kmeans_sweep(spark, sf):
+    return clusters.kmeans_sweep(scaled_points(spark, sf), range(2, 9))
+
+
+@query()
+def q_gmm(spark, sf):
+    rows = scaled_points(spark, sf)
+    model = clusters.cluster_models(2)["gaussian_mixture"].fit(rows)
+    return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("membership"))
+
+
+@query()
+def q_bisecting(spark, sf):
+    rows = scaled_points(spark, sf)
+    model = clusters.cluster_models(2)["bisecting"].fit(rows)
+    return clusters.profile(model.transform(rows).withColumnRenamed("prediction", "cluster"), "cluster", DIMS)
+
+
+@query()
+def q_cluster_comparison(spark, sf):
+    return clusters.compare_clusterings(scaled_points(spark, sf), 2, "embeddings")
+
+
+@query("""
+WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+SELECT 1 AS component, (1 + r) / 2 AS explained FROM r UNION ALL SELECT 2, (1 - r) / 2 FROM r
+""")
+def q_pca_variance(spark, sf):
+    rows = clusters.scaled_features(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])
+    _, explained = clusters.pca(rows, "l_orderkey")
+    return spark.createDataFrame(list(enumerate(explained, 1)), "component int, explained double")
+
+
+@query()
+def q_pca(spark, sf):
+    return clusters.pca(scaled_points(spark, sf), "vec_id")[0]
