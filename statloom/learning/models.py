@@ -18,7 +18,7 @@ from statloom.learning.metrics import binary_metrics, macro_metrics, regression_
 from statloom.operators.describe import stack
 from statloom.operators.frequency import class_weights
 from statloom.operators.series import over_rows
-from statloom.runtime import lookup
+from statloom.runtime import fixed, lookup
 
 SEED = 42
 
@@ -97,10 +97,13 @@ def fit_classifier(
 def prepare(
     df: DataFrame, target: Column, numeric: Sequence[str], categorical: Sequence[str], split: str = "split", scale: bool = True
 ) -> tuple[DataFrame, DataFrame, PipelineModel]:
-    """Fit the preparation on training rows only and apply it to both parts."""
-    labelled = df.withColumn("label", target.cast("double"))
+    """Fit the preparation on training rows only and apply it to both parts.
+
+    The rows are fixed before and after, since every training pass reads them again.
+    """
+    labelled = fixed(df.withColumn("label", target.cast("double")))
     model = preparation(numeric, categorical, scale).fit(labelled.where(F.col(split) == "train"))
-    ready = model.transform(labelled)
+    ready = fixed(model.transform(labelled))
     return ready.where(F.col(split) == "train"), ready.where(F.col(split) == "test"), model
 
 

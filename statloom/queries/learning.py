@@ -218,7 +218,7 @@ def q_rf_regressor(spark, sf):
 
 @query()
 def q_gbt_regressor(spark, sf):
-    return scored_regressor(spark, sf, "boosted_trees")
+    return scored_regressor(spark, sf, "boosted_trees", boosts=60)
 
 
 @query()
@@ -298,7 +298,7 @@ def q_gmm(spark, sf):
 
 @query()
 def q_bisecting(spark, sf):
-    rows = scaled_points(spark, sf)
+    rows = clusters.shifted(scaled_points(spark, sf))
     model = clusters.cluster_models(2)["bisecting"].fit(rows)
     return clusters.profile(model.transform(rows).withColumnRenamed("prediction", "cluster"), "cluster", DIMS)
 
