@@ -54,8 +54,15 @@ def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items() if v is not None})
 
 
+def with_gaps(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Those of the columns that have a missing value, from one cheap aggregate."""
+    counts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first() if cols else {}
+    return [c for c in cols if counts[c]]
+
+
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return fill(df, medians(df, cols))
+    """Fill gaps by the exact median; only columns with gaps are ranked."""
+    return fill(df, medians(df, with_gaps(df, cols)))
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -118,16 +118,17 @@ def fill_gaps(
     else:
         placed = number_rows(df, order, by).withColumn("_block", F.floor((F.col("_pos") - 1) / F.lit(limit)))
     keys = [*by, "_block"]
-    w = Window.partitionBy(*keys).orderBy("_pos")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is done by running backwards: a frame that only grows is linear,
+    # one that shrinks towards the end is recomputed for every row.
+    back = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
     near = {}
     for c in cols:
         at = F.when(F.col(c).isNotNull(), F.col("_pos"))
         near[f"_pv_{c}"] = F.last(c, ignorenulls=True).over(back)
         near[f"_pp_{c}"] = F.last(at, ignorenulls=True).over(back)
-        near[f"_nv_{c}"] = F.first(c, ignorenulls=True).over(ahead)
-        near[f"_np_{c}"] = F.first(at, ignorenulls=True).over(ahead)
+        near[f"_nv_{c}"] = F.last(c, ignorenulls=True).over(ahead)
+        near[f"_np_{c}"] = F.last(at, ignorenulls=True).over(ahead)
     if not one_block:
         ends = []
         for c in cols:
@@ -138,14 +139,13 @@ def fill_gaps(
                 F.min_by(c, at).alias(f"_nv_{c}"),
                 F.min(at).alias(f"_np_{c}"),
             ]
-        chain = _window(by).orderBy("_block")
-        before = chain.rowsBetween(Window.unboundedPreceding, -1)
-        after = chain.rowsBetween(1, Window.unboundedFollowing)
+        before = _window(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        after = _window(by).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
         summary = placed.groupBy(*keys).agg(*ends)
         carried = summary.select(
             *keys,
             *[F.last(f"{p}{c}", ignorenulls=True).over(before).alias(f"_c{p}{c}") for c in cols for p in ("_pv_", "_pp_")],
-            *[F.first(f"{p}{c}", ignorenulls=True).over(after).alias(f"_c{p}{c}") for c in cols for p in ("_nv_", "_np_")],
+            *[F.last(f"{p}{c}", ignorenulls=True).over(after).alias(f"_c{p}{c}") for c in cols for p in ("_nv_", "_np_")],
         )
         placed = _match(placed.withColumns(near), carried, keys)
         placed = placed.withColumns({name: F.coalesce(name, f"_c{name}") for name in near})
