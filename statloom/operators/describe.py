@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.selection import (
-    ACCURACY,
     Rank,
-    bracket_column,
+    grid_column,
     linear,
     long_form,
     order_statistics,
@@ -64,7 +63,6 @@ def describe(
     *,
     mode: bool = True,
     shape: bool = False,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per (group, variable); variables without any value are left out.
 
@@ -85,14 +83,14 @@ def describe(
             F.var_samp("value").alias("variance"),
             F.stddev_samp("value").alias("std"),
             *(extra if shape else []),
-            bracket_column(ranks, accuracy).alias("edges"),
+            grid_column().alias("grid"),
         )
     )
     # The mode needs every distinct value counted; the quartiles then start from those counts.
-    source = value_counts(rows, keys) if mode else rows
-    out = core.join(pick(source, keys, core, ranks, accuracy).drop("n"), keys)
+    counts = value_counts(rows, keys) if mode else None
+    out = core.join(pick(rows, keys, core, ranks, counts).drop("n"), keys)
     if mode:
-        out = out.join(value_modes(source, keys), keys)
+        out = out.join(value_modes(counts, keys), keys)
     q = F.col("q")
     return out.select(
         *keys,
@@ -150,13 +148,11 @@ def deviations(df: DataFrame, cols: Sequence[str], by: Sequence[str], centre: Da
     return rows.select(*by, "variable", F.abs(F.col("value") - F.col("centre")).alias("value"))
 
 
-def median_abs_deviation(
-    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), accuracy: int = ACCURACY
-) -> DataFrame:
+def median_abs_deviation(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Median absolute deviation and the robust sigma derived from it."""
     keys = [*by, "variable"]
-    centre = quantiles(df, cols, [0.5], by, accuracy=accuracy).select(*keys, F.col("q")[0].alias("centre"))
-    spread = order_statistics(deviations(df, cols, by, centre), keys, [linear(0.5)], accuracy)
+    centre = quantiles(df, cols, [0.5], by).select(*keys, F.col("q")[0].alias("centre"))
+    spread = order_statistics(deviations(df, cols, by, centre), keys, [linear(0.5)])
     mad = F.col("q")[0]
     return spread.select(*keys, "n", mad.alias("mad"), (mad * NORMAL_MAD_FACTOR).alias("robust_sigma"))
 

@@ -1,11 +1,12 @@
 """Exact order statistics without sorting or collecting a group.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
-an approximate sketch first brackets each wanted rank; a second pass folds all
-rows outside the brackets into counts before the shuffle and keeps exact values
-only inside them. Each group therefore sends about ``8 / accuracy`` of its rows
-per wanted rank to the task that picks the answer, and the answer is exact. A
-rank that a bracket missed raises an error instead of giving a wrong value.
+a small sketch first brackets each wanted rank; while a bracket may still hold
+more rows than one task should rank, a further sketch of the rows inside narrows
+it. The last pass folds all rows outside the brackets into counts before the
+shuffle and keeps exact values only inside them, so the answer is exact and the
+sketch stays small whatever the size of the table. A rank that a bracket missed
+raises an error instead of giving a wrong value.
 """
 
 from __future__ import annotations
@@ -18,40 +19,52 @@ from pyspark.sql import functions as F
 
 from statloom.runtime import settle
 
-ACCURACY = 10_000
+GRID = 250
+"""Even shares at which a sketch is read."""
+
+ACCURACY = 1_000
+"""Sketch accuracy; its rank error is a quarter of a grid step."""
+
+WHOLE = 20_000
+"""Groups up to this size are ranked without brackets."""
+
+IN_TASK = 2_000_000
+"""Rows a bracket may hold before it is narrowed again."""
+
+WIDTH = 6 / GRID
+"""Largest share of the rows that a bracket keeps per pass."""
 
 
 @dataclass(frozen=True)
 class Rank:
-    """A wanted position: its share of the rows and its 1-based place among n."""
+    """A wanted position: its 1-based place among n values."""
 
-    share: float
     place: Callable[[Column], Column]
 
 
 def linear(p: float) -> Rank:
     """Place (n - 1) p + 1: linear interpolation between closest ranks."""
-    return Rank(p, lambda n: (n - 1) * F.lit(float(p)) + 1)
+    return Rank(lambda n: (n - 1) * F.lit(float(p)) + 1)
 
 
 def weibull(p: float) -> Rank:
     """Place (n + 1) p, kept inside 1..n."""
-    return Rank(p, lambda n: F.greatest(F.lit(1.0), F.least(n.cast("double"), (n + 1) * F.lit(float(p)))))
+    return Rank(lambda n: F.greatest(F.lit(1.0), F.least(n.cast("double"), (n + 1) * F.lit(float(p)))))
 
 
 def trim_low(alpha: float) -> Rank:
     """First value kept after cutting floor(alpha n) from below."""
-    return Rank(alpha, lambda n: (F.floor(n * F.lit(float(alpha))) + 1).cast("double"))
+    return Rank(lambda n: (F.floor(n * F.lit(float(alpha))) + 1).cast("double"))
 
 
 def trim_high(alpha: float) -> Rank:
     """Last value kept after cutting floor(alpha n) from above."""
-    return Rank(1 - alpha, lambda n: (n - F.floor(n * F.lit(float(alpha)))).cast("double"))
+    return Rank(lambda n: (n - F.floor(n * F.lit(float(alpha)))).cast("double"))
 
 
-def nth(k: int, total: int) -> Rank:
-    """The k-th smallest of a group whose size is known."""
-    return Rank(k / max(total, 1), lambda n: F.lit(float(k)))
+def nth(k: int) -> Rank:
+    """The k-th smallest."""
+    return Rank(lambda n: F.lit(float(k)))
 
 
 def long_form(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -62,11 +75,63 @@ def long_form(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Dat
     return rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def bracket_column(ranks: Sequence[Rank], accuracy: int = ACCURACY) -> Column:
-    """Sketch values enclosing each rank, as an aggregate over ``value``."""
-    margin = 4.0 / accuracy
-    edges = [e for r in ranks for e in (max(0.0, r.share - margin), min(1.0, r.share + margin))]
-    return F.percentile_approx("value", edges, accuracy)
+def grid_column(value: Column | str = "value") -> Column:
+    """Sketched values at even shares, as an aggregate."""
+    return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
+
+
+def _narrow(rank: Rank, grid: Column, below: Column, inside: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """New bracket of a rank among ``inside`` rows that follow ``below`` others.
+
+    Two grid steps are left on each side. A bracket that turns out not to hold
+    its rank is given up for the whole range.
+    """
+    place = rank.place(F.col("n"))
+    first, last = F.floor(place), F.ceil(place)
+    i = (F.floor((first - 1 - below) / inside * GRID) - 2).cast("int")
+    j = (F.ceil((last - below) / inside * GRID) + 2).cast("int")
+    held = (first > below) & (last <= below + inside) & (F.col("n") > WHOLE)
+    lo = F.when(~held, float("-inf")).when(i <= 0, low).otherwise(F.get(grid, i))
+    hi = F.when(~held, float("inf")).when(j >= GRID, high).otherwise(F.get(grid, j))
+    return lo, hi
+
+
+def _refined(rows: DataFrame, keys: list[str], spans: DataFrame, ranks: Sequence[Rank]) -> DataFrame:
+    """One more pass: count what lies below and inside each bracket, sketch the inside."""
+    v = F.col("value")
+    edges = [f"{e}{i}" for i in range(len(ranks)) for e in ("_lo", "_hi")]
+    aggs = []
+    for i in range(len(ranks)):
+        inside = (v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}"))
+        aggs += [
+            F.count(F.when(v < F.col(f"_lo{i}"), 1)).alias(f"_below{i}"),
+            F.count(F.when(inside, 1)).alias(f"_in{i}"),
+            grid_column(F.when(inside, v)).alias(f"_grid{i}"),
+        ]
+    seen = rows.join(spans, keys).groupBy(*keys, "n", *edges).agg(*aggs)
+    out = []
+    for i, r in enumerate(ranks):
+        inside = F.nullif(F.col(f"_in{i}"), F.lit(0))
+        lo, hi = _narrow(
+            r, F.col(f"_grid{i}"), F.col(f"_below{i}"), F.coalesce(inside, F.lit(1)), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        )
+        out += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    return seen.select(*keys, "n", *out)
+
+
+def spans_of(rows: DataFrame, keys: Sequence[str], sketch: DataFrame, ranks: Sequence[Rank]) -> DataFrame:
+    """Bracket of each rank per key, narrowed until it fits a task."""
+    keys = list(keys)
+    out = []
+    for i, r in enumerate(ranks):
+        lo, hi = _narrow(r, F.col("grid"), F.lit(0), F.col("n"), F.lit(float("-inf")), F.lit(float("inf")))
+        out += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    spans = sketch.select(*keys, "n", *out)
+    held = (sketch.agg(F.max("n")).first()[0] or 0) * WIDTH
+    while held > IN_TASK:
+        spans = settle(_refined(rows, keys, spans, ranks))
+        held *= WIDTH
+    return spans
 
 
 def value_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,23 +140,20 @@ def value_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pick(
-    rows: DataFrame, keys: Sequence[str], brackets: DataFrame, ranks: Sequence[Rank], accuracy: int = ACCURACY
+    rows: DataFrame,
+    keys: Sequence[str],
+    sketch: DataFrame,
+    ranks: Sequence[Rank],
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact values at ``ranks`` per key as array ``q``, given the settled sketch table.
+    """Exact values at ``ranks`` per key as array ``q``: (keys, n, q).
 
-    ``rows`` holds values, or distinct values with a count ``c``. ``brackets`` has
-    the keys, ``n`` and ``edges``; ranks must be in ascending order.
+    ``sketch`` is the settled table with the keys, ``n`` and ``grid``; ranks are
+    in ascending order. Value ``counts`` are read instead of the rows if at hand.
     """
     keys = list(keys)
-    # Small groups are kept whole, so the sketch matters only for large ones.
-    tiny = F.col("n") <= 2 * accuracy
-    span = []
-    for i, r in enumerate(ranks):
-        low_open = tiny | F.lit(r.share <= 4.0 / accuracy)
-        high_open = tiny | F.lit(r.share >= 1 - 4.0 / accuracy)
-        span.append(F.when(low_open, float("-inf")).otherwise(F.col("edges")[2 * i]).alias(f"_lo{i}"))
-        span.append(F.when(high_open, float("inf")).otherwise(F.col("edges")[2 * i + 1]).alias(f"_hi{i}"))
-    bounds = brackets.select(*keys, *span)
+    bounds = spans_of(rows, keys, sketch, ranks).drop("n")
+    rows = rows if counts is None else counts
     weight = F.col("c") if "c" in rows.columns else F.lit(1)
     joined = rows.withColumn("_w", weight).join(bounds, keys)
 
@@ -134,15 +196,10 @@ def pick(
     return found.select(*keys, "n", F.array(*values).alias("q"))
 
 
-def order_statistics(
-    rows: DataFrame, keys: Sequence[str], ranks: Sequence[Rank], accuracy: int = ACCURACY
-) -> DataFrame:
+def order_statistics(rows: DataFrame, keys: Sequence[str], ranks: Sequence[Rank]) -> DataFrame:
     """Exact values at ``ranks`` of column ``value`` per key: (keys, n, q array)."""
-    keys = list(keys)
-    sketch = rows.groupBy(*keys).agg(
-        F.count("value").alias("n"), bracket_column(ranks, accuracy).alias("edges")
-    )
-    return pick(rows, keys, settle(sketch.where("n > 0")), ranks, accuracy)
+    sketch = rows.groupBy(*keys).agg(F.count("value").alias("n"), grid_column().alias("grid"))
+    return pick(rows, keys, settle(sketch.where("n > 0")), ranks)
 
 
 def quantiles(
@@ -151,8 +208,7 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     method: Callable[[float], Rank] = linear,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact quantiles of many columns: (by, variable, n, q array in the order of ``probs``)."""
     rows = long_form(df, cols, by)
-    return order_statistics(rows, [*by, "variable"], [method(p) for p in sorted(probs)], accuracy)
+    return order_statistics(rows, [*by, "variable"], [method(p) for p in sorted(probs)])

@@ -296,15 +296,15 @@ def time_split(df: DataFrame, ts: str, key: str, share: float = 0.8) -> DataFram
     if k == 0:
         return df.withColumn("split", F.lit("test"))
 
-    def smallest(rows: DataFrame, value: Column, place: int, total: int) -> float:
+    def smallest(rows: DataFrame, value: Column, place: int) -> float:
         shaped = rows.select(F.lit("v").alias("variable"), value.alias("value"))
-        return order_statistics(shaped, ["variable"], [nth(place, total)]).first()["q"][0]
+        return order_statistics(shaped, ["variable"], [nth(place)]).first()["q"][0]
 
     timed = df.where(F.col(ts).isNotNull())
-    cut = smallest(timed, at, k, n)
+    cut = smallest(timed, at, k)
     sides = timed.agg(F.count(F.when(at < cut, 1)).alias("below"), F.count(F.when(at == cut, 1)).alias("ties")).first()
     train = at <= cut
     if sides["below"] + sides["ties"] > k:
-        last_key = smallest(timed.where(at == cut), F.col(key).cast("double"), k - sides["below"], sides["ties"])
+        last_key = smallest(timed.where(at == cut), F.col(key).cast("double"), k - sides["below"])
         train = (at < cut) | ((at == cut) & (F.col(key) <= last_key))
     return df.withColumn("split", F.when(train, "train").otherwise("test"))

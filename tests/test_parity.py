@@ -34,10 +34,18 @@ def data(spark):
     return pdf, to_spark(spark, pdf).cache()
 
 
-@pytest.mark.parametrize("accuracy", [60, 10_000])
-def test_describe(data, accuracy):
+@pytest.fixture(params=["whole", "one pass", "narrowed"])
+def brackets(request, monkeypatch):
+    """Rank groups whole, within sketched brackets, or within brackets narrowed twice."""
+    if request.param != "whole":
+        monkeypatch.setattr(selection, "WHOLE", 0)
+    if request.param == "narrowed":
+        monkeypatch.setattr(selection, "IN_TASK", 1)
+
+
+def test_describe(data, brackets):
     pdf, df = data
-    got = describe.describe(df, ["x", "y", "flat"], ["g"], shape=True, accuracy=accuracy).toPandas().set_index(["g", "variable"])
+    got = describe.describe(df, ["x", "y", "flat"], ["g"], shape=True).toPandas().set_index(["g", "variable"])
     for (g, part) in pdf.groupby("g"):
         for c in ("x", "y", "flat"):
             s, r = part[c].dropna(), got.loc[(g, c)]
@@ -51,13 +59,15 @@ def test_describe(data, accuracy):
                 assert r[k] == pytest.approx(v, rel=1e-9, abs=1e-12, nan_ok=True), (g, c, k)
 
 
-def test_large_group_uses_brackets(spark):
+@pytest.mark.parametrize("in_task", [2_000_000, 40])
+def test_large_group_uses_brackets(spark, monkeypatch, in_task):
     """Far more rows than the sketch keeps whole, with one value holding a third of them."""
     n = 60_000
     values = np.where(np.arange(n) % 3 == 0, 7.0, np.random.default_rng(2).lognormal(2, 1.5, n))
-    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    monkeypatch.setattr(selection, "IN_TASK", in_task)
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(6)
     probs = [0.001, 0.1, 0.25, 0.5, 0.75, 0.99, 0.9999]
-    got = selection.quantiles(df, ["v"], probs, accuracy=2000).first()["q"]
+    got = selection.quantiles(df, ["v"], probs).first()["q"]
     assert got == pytest.approx(pd.Series(values).quantile(probs).tolist(), rel=1e-12)
 
 
@@ -66,10 +76,9 @@ def test_empty_column_is_left_out(spark):
     assert [r["variable"] for r in describe.describe(df, ["a", "b"]).collect()] == ["a"]
 
 
-@pytest.mark.parametrize("accuracy", [60, 10_000])
-def test_mad(data, accuracy):
+def test_mad(data, brackets):
     pdf, df = data
-    got = describe.median_abs_deviation(df, ["x"], ["g"], accuracy).toPandas().set_index("g")["mad"]
+    got = describe.median_abs_deviation(df, ["x"], ["g"]).toPandas().set_index("g")["mad"]
     for g, part in pdf.groupby("g"):
         assert got[g] == pytest.approx((part["x"] - part["x"].median()).abs().median())
 
