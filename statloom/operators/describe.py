@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from statloom.operators.selection import (
     Rank,
-    grid_column,
     linear,
     long_form,
     order_statistics,
@@ -66,8 +65,8 @@ def describe(
 ) -> DataFrame:
     """One row per (group, variable); variables without any value are left out.
 
-    One job gathers the moments together with the quantile sketch; the exact
-    quartiles and the mode are joined to that small table.
+    One job gathers the moments; the exact quartiles and the mode are joined to
+    that small table.
     """
     rows = long_form(df, cols, by)
     keys = [*by, "variable"]
@@ -83,7 +82,6 @@ def describe(
             F.var_samp("value").alias("variance"),
             F.stddev_samp("value").alias("std"),
             *(extra if shape else []),
-            grid_column().alias("grid"),
         )
     )
     # The mode needs every distinct value counted; the quartiles then start from those counts.

@@ -88,7 +88,7 @@ def head_per_group(df: DataFrame, by: str, order: list[str], n: int) -> DataFram
     if n > 1000:
         slices = Window.partitionBy(by, "_s").orderBy(*order)
         df = (
-            df.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(64)))
+            df.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(512)))
             .withColumn("_r", F.row_number().over(slices))
             .where(F.col("_r") <= n)
             .drop("_s", "_r")

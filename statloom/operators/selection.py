@@ -1,9 +1,9 @@
 """Exact order statistics without sorting or collecting a group.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
-a small sketch first brackets each wanted rank; while a bracket may still hold
-more rows than one task should rank, a further sketch of the rows inside narrows
-it. The last pass folds all rows outside the brackets into counts before the
+a group that is too large to be ranked by one task is sketched first, and the
+sketch brackets each wanted rank; while a bracket may still hold too many rows, a
+further sketch of the rows inside narrows it. The last pass folds all rows outside the brackets into counts before the
 shuffle and keeps exact values only inside them, so the answer is exact and the
 sketch stays small whatever the size of the table. A rank that a bracket missed
 raises an error instead of giving a wrong value.
@@ -119,15 +119,20 @@ def _refined(rows: DataFrame, keys: list[str], spans: DataFrame, ranks: Sequence
     return seen.select(*keys, "n", *out)
 
 
-def spans_of(rows: DataFrame, keys: Sequence[str], sketch: DataFrame, ranks: Sequence[Rank]) -> DataFrame:
-    """Bracket of each rank per key, narrowed until it fits a task."""
+def spans_of(rows: DataFrame, keys: Sequence[str], sizes: DataFrame, ranks: Sequence[Rank]) -> DataFrame | None:
+    """Bracket of each rank per key, narrowed until it fits a task; None if all groups do."""
     keys = list(keys)
+    bottom, top = F.lit(float("-inf")), F.lit(float("inf"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= IN_TASK:
+        return None
+    sketch = settle(rows.groupBy(*keys).agg(F.count("value").alias("n"), grid_column().alias("grid")))
     out = []
     for i, r in enumerate(ranks):
-        lo, hi = _narrow(r, F.col("grid"), F.lit(0), F.col("n"), F.lit(float("-inf")), F.lit(float("inf")))
+        lo, hi = _narrow(r, F.col("grid"), F.lit(0), F.col("n"), bottom, top)
         out += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
     spans = sketch.select(*keys, "n", *out)
-    held = (sketch.agg(F.max("n")).first()[0] or 0) * WIDTH
+    held = largest * WIDTH
     while held > IN_TASK:
         spans = settle(_refined(rows, keys, spans, ranks))
         held *= WIDTH
@@ -139,46 +144,46 @@ def value_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
 
 
-def pick(
-    rows: DataFrame,
-    keys: Sequence[str],
-    sketch: DataFrame,
-    ranks: Sequence[Rank],
-    counts: DataFrame | None = None,
-) -> DataFrame:
-    """Exact values at ``ranks`` per key as array ``q``: (keys, n, q).
-
-    ``sketch`` is the settled table with the keys, ``n`` and ``grid``; ranks are
-    in ascending order. Value ``counts`` are read instead of the rows if at hand.
-    """
-    keys = list(keys)
-    bounds = spans_of(rows, keys, sketch, ranks).drop("n")
-    rows = rows if counts is None else counts
+def _folded(rows: DataFrame, keys: list[str], spans: DataFrame, ranks: int) -> DataFrame:
+    """Counts of the values inside any bracket, and of all the rows between two brackets as one."""
     weight = F.col("c") if "c" in rows.columns else F.lit(1)
-    joined = rows.withColumn("_w", weight).join(bounds, keys)
-
+    joined = rows.withColumn("_w", weight).join(spans.drop("n"), keys)
     v = F.col("value")
     folded = F.struct(F.lit(float("inf")).alias("at"), F.lit(0).alias("exact"))
-    for i in reversed(range(len(ranks))):
+    for i in reversed(range(ranks)):
         folded = (
             F.when(v < F.col(f"_lo{i}"), F.struct(F.col(f"_lo{i}").alias("at"), F.lit(0).alias("exact")))
             .when(v <= F.col(f"_hi{i}"), F.struct(v.alias("at"), F.lit(1).alias("exact")))
             .otherwise(folded)
         )
-    counted = (
+    return (
         joined.select(*keys, folded.alias("_f"), "_w")
         .groupBy(*keys, F.col("_f.at").alias("at"), F.col("_f.exact").alias("exact"))
         .agg(F.sum("_w").alias("c"))
     )
-    group = Window.partitionBy(*keys)
-    ranked = counted.select(
-        *keys,
-        "at",
-        "exact",
-        "c",
-        F.sum("c").over(group.orderBy("at", "exact").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
-        F.sum("c").over(group).alias("n"),
-    )
+
+
+def pick(
+    rows: DataFrame,
+    keys: Sequence[str],
+    sizes: DataFrame,
+    ranks: Sequence[Rank],
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Exact values at ``ranks`` per key as array ``q``: (keys, n, q).
+
+    ``sizes`` is a settled table with the keys and ``n``; ranks are in ascending
+    order. Value ``counts`` are read instead of the rows if at hand.
+    """
+    keys = list(keys)
+    spans = spans_of(rows, keys, sizes, ranks)
+    if spans is None:
+        counts = value_counts(rows, keys) if counts is None else counts
+        counted = counts.select(*keys, F.col("value").alias("at"), F.lit(1).alias("exact"), "c")
+    else:
+        counted = _folded(rows if counts is None else counts, keys, spans, len(ranks))
+    run = Window.partitionBy(*keys).orderBy("at", "exact").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("cum", F.sum("c").over(run)).join(sizes.select(*keys, "n"), keys)
     picks = []
     for i, r in enumerate(ranks):
         place = r.place(F.col("n"))
@@ -198,8 +203,7 @@ def pick(
 
 def order_statistics(rows: DataFrame, keys: Sequence[str], ranks: Sequence[Rank]) -> DataFrame:
     """Exact values at ``ranks`` of column ``value`` per key: (keys, n, q array)."""
-    sketch = rows.groupBy(*keys).agg(F.count("value").alias("n"), grid_column().alias("grid"))
-    return pick(rows, keys, settle(sketch.where("n > 0")), ranks)
+    return pick(rows, keys, settle(rows.groupBy(*keys).agg(F.count("value").alias("n"))), ranks)
 
 
 def quantiles(

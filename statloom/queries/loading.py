@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.functions.scalars import ENTITIES, first_prefix, flag, recode, to_number, to_time
 from statloom.operators.frequency import frequency, label_lookup
 from statloom.queries.registry import query, table
-from statloom.runtime import scratch
+from statloom.runtime import lookup, scratch
 from statloom.sources import readers, sinks
 
 PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -192,4 +192,4 @@ def q_join_features(spark, sf):
 def q_bind_by_key(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), "o_totalprice")
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_acctbal")
-    return orders.join(customers, "custkey")
+    return lookup(orders, customers, ["custkey"], spread=["o_orderkey"])

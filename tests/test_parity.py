@@ -39,8 +39,7 @@ def brackets(request, monkeypatch):
     """Rank groups whole, within sketched brackets, or within brackets narrowed twice."""
     if request.param != "whole":
         monkeypatch.setattr(selection, "WHOLE", 0)
-    if request.param == "narrowed":
-        monkeypatch.setattr(selection, "IN_TASK", 1)
+        monkeypatch.setattr(selection, "IN_TASK", 100 if request.param == "one pass" else 1)
 
 
 def test_describe(data, brackets):
@@ -59,7 +58,7 @@ def test_describe(data, brackets):
                 assert r[k] == pytest.approx(v, rel=1e-9, abs=1e-12, nan_ok=True), (g, c, k)
 
 
-@pytest.mark.parametrize("in_task", [2_000_000, 40])
+@pytest.mark.parametrize("in_task", [2_000_000, 2_000, 40])
 def test_large_group_uses_brackets(spark, monkeypatch, in_task):
     """Far more rows than the sketch keeps whole, with one value holding a third of them."""
     n = 60_000
