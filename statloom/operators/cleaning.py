@@ -172,7 +172,7 @@ def oversample(df: DataFrame, target: str) -> DataFrame:
     """Repeat the rows of smaller classes a whole number of times towards the largest."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
     top = counts.agg(F.max("_n")).first()[0]
-    times = counts.select(target, F.greatest(F.lit(1), F.round(F.lit(float(top)) / F.col("_n")).cast("int")).alias("_times"))
+    times = counts.select(target, F.greatest(F.lit(1), F.round(F.lit(float(top or 0)) / F.col("_n")).cast("int")).alias("_times"))
     copies = lookup(df, times, [target])
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 

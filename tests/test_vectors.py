@@ -89,3 +89,16 @@ def test_settle_beyond_the_bound_is_checkpointed(spark):
     df = spark.range(100).withColumn("x", F.rand())
     kept = settle(df, 10)
     assert kept.exceptAll(kept).count() == 0 and kept.count() == 100
+
+
+def test_empty_tables_give_empty_results(spark):
+    empty = spark.createDataFrame([], "id long, g string, x double")
+    frames = [
+        describe.describe(empty, ["x"], ["g"]),
+        describe.trimmed_mean(empty, ["x"], 0.1),
+        cleaning.iqr_clip(cleaning.impute_auto(empty), ["x"]),
+        cleaning.oversample(empty, "g"),
+        charts.box_stats(empty, ["x"], ["g"]),
+        series.fill_gaps(empty, ["x"], ["id"]),
+    ]
+    assert [f.count() for f in frames] == [0] * len(frames)
