@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import clip, sentences, word_count, words
-from statloom.runtime import lookup
+from statloom.runtime import fixed, lookup
 
 NO_TOPIC = "NO_TOPIC"
 
@@ -95,9 +95,13 @@ def bigram_frequency(df: DataFrame, text: str) -> DataFrame:
 
 
 def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Term weight count * ln((N + 1) / (documents + 1)) per document and term."""
+    """Term weight count * ln((N + 1) / (documents + 1)) per document and term.
+
+    The counts per document are written once, as they are needed both for the
+    document frequencies and for the weights and cost a pass over all texts.
+    """
     n = df.count()
-    per_doc = tokens(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    per_doc = fixed(tokens(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     docs = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = lookup(per_doc, docs, ["term"], spread=[key])
     return weighted.select(
