@@ -45,9 +45,9 @@ def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 class Words:
     """Word positions and hashes of some texts held in one byte buffer."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool = False, space: np.ndarray = SPACE):
         self.data, self.bounds = (FOLD[data] if fold else data), bounds
-        inside = ~SPACE[data]
+        inside = ~space[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[bounds] = True
         begins, ends = inside.copy(), inside.copy()
@@ -103,7 +103,7 @@ def whole(hashes: np.ndarray) -> np.uint64:
     return out[0]
 
 
-def chunked(texts: pa.Array, fold: bool = False, most: int = CHUNK_BYTES) -> Iterator[tuple[int, Words]]:
+def chunked(texts: pa.Array, fold: bool = False, most: int = CHUNK_BYTES, space: np.ndarray = SPACE) -> Iterator[tuple[int, Words]]:
     """The first row and the words of each run of texts of at most ``most`` bytes (one text at least); null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -117,5 +117,5 @@ def chunked(texts: pa.Array, fold: bool = False, most: int = CHUNK_BYTES) -> Ite
     while row < len(wide):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         lo, hi = offsets[row], offsets[stop]
-        yield row, Words(data[lo:hi], offsets[row : stop + 1] - lo, fold)
+        yield row, Words(data[lo:hi], offsets[row : stop + 1] - lo, fold, space)
         row = stop
