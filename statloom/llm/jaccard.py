@@ -11,10 +11,12 @@ lower-cased; a shorter text is one shingle). Two documents link when
    linked sets share at least m of their first |x| - o + m shingles. Each document picks its
    own m: a longer prefix costs more postings but asks for m shared ones, so that
    the expected number of candidates, frequency over m, falls. A pair must share the
-   smaller m of the two.
+   smaller m of the two, within the prefixes that follow from both sizes: there o is
+   the overlap that this pair needs.
 3. Documents of equal sets are one class, named by a 64-bit hash of the set.
-4. Stars. Each posting list links its classes to one centre, verified exactly. The
-   groups found contract, so that large groups of near copies never become all their pairs.
+4. Stars. Each posting list links its classes to one centre, the class that holds the shingle
+   at the earliest place, and so has the fewest rare ones; verified exactly. The groups
+   found contract, so that large groups of near copies never become all their pairs.
 5. Rest. Posting lists that still hold several groups give pairs between different
    groups only; those that share enough and fit in size are verified.
 
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.graph import components
@@ -139,19 +141,12 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, perc
     spread = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("cls"))
     tasks = written(centres.union(spread).join(reps, "cls"))
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, w in chunked(batch["text"], fold=True):
-                found = [x.tobytes() for x in sets(w, size)]
-                rest = [batch[c].slice(row, len(found)) for c in ("a", "part", "role", "cls")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.binary())], names=["a", "part", "role", "cls", "items"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             left, right = [], []
-            for a, role, cls, items in zip(*[batch[c].to_pylist() for c in ("a", "role", "cls", "items")]):
-                x = np.frombuffer(items, np.uint64)
+            made = (x for _, w in chunked(batch["text"], fold=True) for x in sets(w, size))
+            for a, role, cls, x in zip(*[batch[c].to_pylist() for c in ("a", "role", "cls")], made):
                 if role == 0:
                     centre, own = a, x
                 elif centre == a:
@@ -161,9 +156,8 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, perc
                         right.append(cls)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    texts = docs.select("doc_id", "text").join(hinted(tasks), "doc_id")
-    full = arrow(texts.select("text", "a", "part", "role", "cls"), expand, "a long, part int, role int, cls long, items binary")
-    dealt = full.repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    texts = docs.select("doc_id", "text").join(hinted(tasks), "doc_id").select("text", "a", "part", "role", "cls")
+    dealt = texts.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return arrow(dealt, compare, "a long, b long").distinct()
 
 
@@ -172,26 +166,38 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFram
     filled = rows.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(filled.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("deep").alias("deep")))
     narrow, reps = classes.select("cls", "n", "deep"), classes.select("cls", "doc_id")
-    postings = filled.select("cls", "prefix").dropDuplicates(["cls"]).select("cls", F.explode("prefix").alias("token"))
+    postings = filled.select("cls", "prefix").dropDuplicates(["cls"]).select("cls", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.filter("token IS NOT NULL").repartition("token")
-    lists = postings.groupBy("token").agg(F.count("*").alias("held"), F.min("cls").alias("centre")).filter("held > 1")
+    centre = F.min(F.struct("pos", "cls"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("held"), centre.alias("centre")).filter("held > 1")
     shared = written(postings.join(lists.select("token", "centre"), "token"))
 
-    a, b = (narrow.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("deep").alias(f"deep{x}")) for x in "ab")
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("hits") >= F.least("deepa", "deepb"))
-    stars = shared.filter("cls != centre").groupBy(F.col("centre").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("hits"))
-    stars = written(stars.join(a, "a").join(b, "b").filter(fits).select("a", "b"))
+    def close(a: dict[str, Column], b: dict[str, Column]) -> Column:
+        """Whether sizes fit, and a shared posting lies in the prefixes that this very pair asks for."""
+        need = F.ceil(percent * (a["n"] + b["n"]) / (100 + percent))
+        more = F.least(a["deep"], b["deep"]) - need
+        return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (a["pos"] < a["n"] + more) & (b["pos"] < b["n"] + more)
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        counted = pairs.groupBy("a", "b", "deep").agg(F.count("*").alias("hits"))
+        return counted.filter("hits >= deep").select("a", "b")
+
+    sides = {k: narrow.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("deep").alias(f"deep{k}")) for k in "ab"}
+    here = {k: {c: F.col(f"{c}{k}") for c in ("n", "deep", "pos")} for k in "ab"}
+    least = F.least("deepa", "deepb").alias("deep")
+    stars = shared.filter("cls != centre.cls").select(F.col("centre.cls").alias("a"), F.col("centre.pos").alias("posa"), F.col("cls").alias("b"), F.col("pos").alias("posb"))
+    stars = written(enough(stars.join(sides["a"], "a").join(sides["b"], "b").filter(close(here["a"], here["b"])).select("a", "b", least)))
     found = written(verified(docs, reps, stars, size, percent))
 
     groups = components(found).withColumnRenamed("v", "cls")
-    tagged = shared.select("token", "cls").join(groups, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    tagged = shared.select("token", "cls", "pos").join(groups, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     tagged = tagged.join(narrow, "cls").repartition("token")
     mixed = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     mixed = written(tagged.join(mixed.select("token"), "token"))
-    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("cls", "label", "n", "deep")]) for k in "ab")
-    near = (F.col("labela") != F.col("labelb")) & (F.col("clsa") < F.col("clsb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = x.join(y, (x["token"] == y["token"]) & near).groupBy("clsa", "clsb", "deepa", "deepb").agg(F.count("*").alias("hits"))
-    rest = rest.filter(F.col("hits") >= F.least("deepa", "deepb")).select(F.col("clsa").alias("a"), F.col("clsb").alias("b"))
+    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("cls", "label", "n", "deep", "pos")]) for k in "ab")
+    apart = (F.col("labela") != F.col("labelb")) & (F.col("clsa") < F.col("clsb"))
+    rest = x.join(y, (x["token"] == y["token"]) & apart & close(here["a"], here["b"]))
+    rest = enough(rest.select(F.col("clsa").alias("a"), F.col("clsb").alias("b"), least))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(tried, ["a", "b"], "left_anti"))
     return found.union(verified(docs, reps, rest, size, percent)) if not rest.isEmpty() else found

@@ -36,11 +36,16 @@ def hinted(narrow: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= most else narrow
 
 
+ARROW_ROWS = 2_000
+"""Most rows in an Arrow batch."""
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, and keep Arrow batches of long texts small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
