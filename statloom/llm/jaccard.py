@@ -172,18 +172,25 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFram
     lists = postings.groupBy("token").agg(F.count("*").alias("held"), centre.alias("centre")).filter("held > 1")
     shared = written(postings.join(lists.select("token", "centre"), "token"))
 
+    # Where the first postings that others share stand in each class: all that can count towards deep.
+    spots = shared.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("pos")), 1, DEEPEST).alias("spots"))
+    narrow = written(narrow.join(spots, "cls"))
+
     def close(a: dict[str, Column], b: dict[str, Column]) -> Column:
-        """Whether sizes fit, and a shared posting lies in the prefixes that this very pair asks for."""
-        need = F.ceil(percent * (a["n"] + b["n"]) / (100 + percent))
-        more = F.least(a["deep"], b["deep"]) - need
-        return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (a["pos"] < a["n"] + more) & (b["pos"] < b["n"] + more)
+        """Whether sizes fit, and a shared posting lies in the prefixes that this very pair asks for, which can hold enough."""
+        deep = F.least(a["deep"], b["deep"])
+        more = deep - F.ceil(percent * (a["n"] + b["n"]) / (100 + percent))
+        fits = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+        for x in (a, b):
+            fits &= (x["pos"] < x["n"] + more) & (F.get(x["spots"], deep - 1) < x["n"] + more)
+        return fits
 
     def enough(pairs: DataFrame) -> DataFrame:
         counted = pairs.groupBy("a", "b", "deep").agg(F.count("*").alias("hits"))
         return counted.filter("hits >= deep").select("a", "b")
 
-    sides = {k: narrow.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("deep").alias(f"deep{k}")) for k in "ab"}
-    here = {k: {c: F.col(f"{c}{k}") for c in ("n", "deep", "pos")} for k in "ab"}
+    sides = {k: narrow.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("deep").alias(f"deep{k}"), F.col("spots").alias(f"spots{k}")) for k in "ab"}
+    here = {k: {c: F.col(f"{c}{k}") for c in ("n", "deep", "pos", "spots")} for k in "ab"}
     least = F.least("deepa", "deepb").alias("deep")
     stars = shared.filter("cls != centre.cls").select(F.col("centre.cls").alias("a"), F.col("centre.pos").alias("posa"), F.col("cls").alias("b"), F.col("pos").alias("posb"))
     stars = written(enough(stars.join(sides["a"], "a").join(sides["b"], "b").filter(close(here["a"], here["b"])).select("a", "b", least)))
@@ -194,7 +201,7 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFram
     tagged = tagged.join(narrow, "cls").repartition("token")
     mixed = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     mixed = written(tagged.join(mixed.select("token"), "token"))
-    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("cls", "label", "n", "deep", "pos")]) for k in "ab")
+    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("cls", "label", "n", "deep", "pos", "spots")]) for k in "ab")
     apart = (F.col("labela") != F.col("labelb")) & (F.col("clsa") < F.col("clsb"))
     rest = x.join(y, (x["token"] == y["token"]) & apart & close(here["a"], here["b"]))
     rest = enough(rest.select(F.col("clsa").alias("a"), F.col("clsb").alias("b"), least))
