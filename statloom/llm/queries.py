@@ -117,7 +117,8 @@ def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op7_pii_boosting(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     done = pii.redactions(docs, pii.fit(docs))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    of = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [of(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return done.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 import oracle  # noqa: E402
 
@@ -45,3 +45,12 @@ def test_pipeline(spark):
         assert sorted(part["slot"]) == list(range(len(part)))
     leaks = ids(QUERIES["op9_benchmark_decontamination"](spark, SF))
     assert not leaks & set(last["doc_id"]) and last.groupby("doc_id").size().max() <= 3
+
+
+def test_pii_counts(spark):
+    from test_operators import brute_pii
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op7_pii_boosting"](spark, SF).collect():
+        kinds = [k for _, _, k, _ in brute_pii(docs[r["doc_id"]])]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
