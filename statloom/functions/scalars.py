@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The entities every HTML page may use without a declaration.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# Common named entities; the one for & comes last, so that what it gives is not read again.
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
+    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
+    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
+    "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£", "&deg;": "°", "&times;": "×",
+    "&agrave;": "à", "&ccedil;": "ç", "&eacute;": "é", "&egrave;": "è", "&ntilde;": "ñ",
+    "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß", "&amp;": "&",
+}
+
+NUMERIC_ENTITY = "&#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,8});"
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -29,6 +38,12 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
+def without_nan(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """NaN is missing: null in its place, in the floating columns among those named."""
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("float", "double")} & set(cols)
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols if c in floats}) if floats else df
+
+
 def clip(col: Column, low: Column | None = None, high: Column | None = None) -> Column:
     """Keep values inside the bounds; missing stays missing."""
     value = col
@@ -80,7 +95,18 @@ def sentences(col: Column) -> Column:
 
 
 def unescape(col: Column) -> Column:
-    """Replace the common character entities."""
+    """Replace the common named and all numeric character entities; a number that is no character gives U+FFFD."""
+
+    def decoded(entity: Column) -> Column:
+        body = F.regexp_replace(entity, "[&#;xX]", "")
+        wide = F.when(F.lower(entity).startswith("&#x"), F.conv(body, 16, 10)).otherwise(body).cast("bigint")
+        valid = wide.between(1, 0x10FFFF) & ~wide.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(wide), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    pieces, found = F.split(col, NUMERIC_ENTITY, -1), F.regexp_extract_all(col, F.lit(NUMERIC_ENTITY), F.lit(0))
+    pairs = F.arrays_zip(pieces.alias("piece"), found.alias("entity"))
+    joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["piece"], F.when(p["entity"].isNotNull(), decoded(p["entity"])).otherwise(""))), "")
+    col = F.when(col.contains("&#"), joined).otherwise(col)
     for code, char in ENTITIES.items():
         col = F.replace(col, F.lit(code), F.lit(char))
     return col
@@ -91,11 +117,6 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"\s+", " "))
 
 
-def weekday(ts: Column) -> Column:
-    """Day of the week with Monday as 0."""
-    return F.weekday(ts)
-
-
 def order_hash(key: Column, seed: int) -> Column:
     """Text whose order is a repeatable shuffle of the rows."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
@@ -112,10 +133,15 @@ def array_mean(arr: Column) -> Column:
 
 
 def array_std(arr: Column) -> Column:
-    """Population deviation of the elements."""
-    mean = array_mean(arr)
-    squares = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean))
-    return F.sqrt(squares / F.nullif(F.size(arr), F.lit(0)))
+    """Population deviation of the elements, in one pass over them (count, mean, squared distance)."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(acc: Column, x: Column) -> Column:
+        off = x.cast("double") - acc["mean"]
+        mean = acc["mean"] + off / (acc["n"] + 1.0)
+        return F.struct((acc["n"] + 1.0).alias("n"), mean.alias("mean"), (acc["m2"] + off * (x.cast("double") - mean)).alias("m2"))
+
+    return F.aggregate(arr, zero, step, lambda acc: F.sqrt(acc["m2"] / F.nullif(acc["n"], F.lit(0.0))))
 
 
 def hex_cell(x: Column, y: Column, size: float) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from statloom.functions.scalars import clip, flag
+from statloom.functions.scalars import clip, flag, without_nan
 from statloom.operators.describe import QUARTILES, describe
 from statloom.operators.selection import quantiles
 from statloom.operators.series import over_rows
@@ -61,11 +61,13 @@ def with_gaps(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill gaps by the exact median; only columns with gaps are ranked."""
+    """Fill gaps, NaN among them, by the exact median; only columns with gaps are ranked."""
+    df = without_nan(df, cols)
     return fill(df, medians(df, with_gaps(df, cols)))
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    df = without_nan(df, cols)
     return fill(df, means(df, cols))
 
 
@@ -100,6 +102,7 @@ def iqr_clip(
 
     Pass ``limits`` computed on training rows to keep test rows out of the bounds.
     """
+    df = without_nan(df, cols)
     limits = clip_limits(df, cols, k, positive_only) if limits is None else limits
     return df.withColumns({c: clip(F.col(c), F.lit(lo), F.lit(hi)) for c, (lo, hi) in limits.items()})
 
@@ -133,7 +136,8 @@ def states(raw: DataFrame, cleaned: DataFrame, cols: Sequence[str]) -> DataFrame
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Scale to 0..1; a constant column gives null."""
+    """Scale to 0..1; a constant column gives null, NaN counts as missing."""
+    df = without_nan(df, cols)
     row = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in cols for f in (F.min, F.max)]).first()
     def scaled(c: str):
         lo, hi = row[f"min_{c}"], row[f"max_{c}"]
@@ -142,7 +146,8 @@ def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Centre and divide by the population deviation; a constant column gives 0."""
+    """Centre and divide by the population deviation; a constant column gives 0, NaN counts as missing."""
+    df = without_nan(df, cols)
     row = df.agg(*[a for c in cols for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
     return df.withColumns({f"{c}_std": (F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c in cols})
 

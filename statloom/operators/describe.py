@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions.scalars import without_nan
 from statloom.operators.selection import (
     Rank,
     linear,
@@ -269,8 +270,9 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson matrix in long form; each pair uses the rows where both are present."""
+    """Pearson matrix in long form; each pair uses the rows where both are present and not NaN."""
     cols = list(cols)
+    df = without_nan(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     def one(a: str, b: str) -> Column:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -284,7 +286,8 @@ def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def zscore(df: DataFrame, col: str, cut: float = 3.0) -> DataFrame:
-    """Add ``z`` and the flag |z| > cut, from the sample mean and deviation."""
+    """Add ``z`` and the flag |z| > cut, from the sample mean and deviation; NaN counts as missing."""
+    df = without_nan(df, [col])
     s = df.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).first()
     spread = F.lit(s["s"]) if s["s"] else F.lit(None).cast("double")
     z = (F.col(col) - F.lit(s["m"])) / spread

@@ -131,8 +131,12 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     Grouping by the digest instead of the values keeps long texts out of the shuffle.
     """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]
-    digest = F.md5(F.concat_ws("\u0001", *parts))
+    if len(cols) == 1:
+        digest = F.md5(F.col(cols[0]).cast("string"))
+    else:
+        # Lengths keep the parts apart, and null differs from every text.
+        texts = [F.col(c).cast("string") for c in cols]
+        digest = F.md5(F.concat(*[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts]))
     return df.groupBy(digest.alias("row_md5")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 

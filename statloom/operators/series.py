@@ -300,11 +300,18 @@ def time_split(df: DataFrame, ts: str, key: str, share: float = 0.8) -> DataFram
         shaped = rows.select(F.lit("v").alias("variable"), value.alias("value"))
         return order_statistics(shaped, ["variable"], [nth(place)]).first()["q"][0]
 
+    # Whole keys are compared in two parts that doubles hold exactly.
+    parts = [F.col(key).cast("double")]
+    if df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
+        whole = F.col(key).cast("bigint")
+        parts = [F.shiftright(whole, 30).cast("double"), whole.bitwiseAND(F.lit((1 << 30) - 1)).cast("double")]
     timed = df.where(F.col(ts).isNotNull())
-    cut = smallest(timed, at, k)
-    sides = timed.agg(F.count(F.when(at < cut, 1)).alias("below"), F.count(F.when(at == cut, 1)).alias("ties")).first()
-    train = at <= cut
-    if sides["below"] + sides["ties"] > k:
-        last_key = smallest(timed.where(at == cut), F.col(key).cast("double"), k - sides["below"])
-        train = (at < cut) | ((at == cut) & (F.col(key) <= last_key))
+    train, tied, left = F.lit(False), F.lit(True), k
+    for value in [at, *parts]:
+        cut = smallest(timed.where(tied), value, left)
+        sides = timed.where(tied).agg(F.count(F.when(value < cut, 1)).alias("below"), F.count(F.when(value == cut, 1)).alias("ties")).first()
+        train, tied, left = train | (tied & (value < cut)), tied & (value == cut), left - sides["below"]
+        if sides["ties"] == left:
+            break
+    train = train | tied
     return df.withColumn("split", F.when(train, "train").otherwise("test"))

@@ -30,7 +30,7 @@ def read_headerless(spark: SparkSession, path: str, names: Sequence[str], missin
 
 def split_blanks(col: Column) -> Column:
     """Fields of a line separated by runs of white space."""
-    return F.split(F.trim(col), r"\s+")
+    return F.split(F.regexp_replace(col, r"^\s+|\s+$", ""), r"\s+")
 
 
 def read_blank_separated(spark: SparkSession, path: str | list[str], names: Sequence[str]) -> DataFrame:
