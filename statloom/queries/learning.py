@@ -31,7 +31,10 @@ fit AS (SELECT event_type, n, my - m1 * (c1 * v2 - c2 * c12) / (v1 * v2 - c12 *
                (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS a1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS a2, y_last, y_before
         FROM s JOIN e USING (event_type))
 """
-DIMS = ["x1", "x2", "x3", "x4", "x5", "x6"]
+DIMS = [f"x{i + 1}" for i in range(64)]
+
+MIXTURE_DIMS = DIMS[:6]
+"""A full-covariance mixture of all 64 degenerates: every membership becomes one half."""
 NUMBERS = ["n_chars", "word_count", "sentences"]
 LABELS = ["lang", "source"]
 LAGGED = ["hour", "dayofweek", "is_weekend", "lag_1", "lag_24", "rolling_mean_24"]
@@ -48,7 +51,7 @@ def status(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderstatus").alias("actual"), rule.alias("predicted"))
 
 
-def points(spark, sf, dims=6):
+def points(spark, sf, dims=len(DIMS)):
     arr = F.col("embedding")
     cols = [F.get(arr, i).cast("double").alias(f"x{i + 1}") for i in range(dims)]
     return table(spark, sf, "embeddings").select("vec_id", "label", *cols)
@@ -218,7 +221,7 @@ def q_rf_regressor(spark, sf):
 
 @query()
 def q_gbt_regressor(spark, sf):
-    return scored_regressor(spark, sf, "boosted_trees", boosts=60)
+    return scored_regressor(spark, sf, "boosted_trees")
 
 
 @query()
@@ -269,7 +272,7 @@ def q_three_class(spark, sf):
     rows = sampling.stratified_split(orders, "o_orderkey", "o_orderstatus")
     code = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     train, test, _ = models.prepare(rows, code, ["o_totalprice", "day"], ["o_orderpriority"])
-    return models.classification_scores(train, test, "order status", ["logistic_regression", "svm_rbf"], classes=3)
+    return models.classification_scores(train, test, "order status", ["logistic_regression", "random_forest", "svm_rbf"], classes=3)
 
 
 @query()
@@ -280,8 +283,8 @@ def q_model_comparison(spark, sf):
     return stack([scores, *regression], fill_missing=True)
 
 
-def scaled_points(spark, sf):
-    return clusters.scaled_features(points(spark, sf), DIMS)
+def scaled_points(spark, sf, dims=DIMS):
+    return clusters.scaled_features(points(spark, sf), dims)
 
 
 @query()
@@ -291,7 +294,7 @@ def q_kmeans_sweep(spark, sf):
 
 @query()
 def q_gmm(spark, sf):
-    rows = scaled_points(spark, sf)
+    rows = scaled_points(spark, sf, MIXTURE_DIMS)
     model = clusters.cluster_models(2)["gaussian_mixture"].fit(rows)
     return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("membership"))
 
@@ -305,7 +308,7 @@ def q_bisecting(spark, sf):
 
 @query()
 def q_cluster_comparison(spark, sf):
-    return clusters.compare_clusterings(scaled_points(spark, sf), 2, "embeddings")
+    return clusters.compare_clusterings(scaled_points(spark, sf, MIXTURE_DIMS), 2, "embeddings")
 
 
 @query("""

@@ -33,7 +33,7 @@ def q_read_headerless(spark, sf):
 @query("SELECT event_id::DOUBLE AS event_id, value, user_id::DOUBLE AS user_id FROM events")
 def q_read_blank_separated(spark, sf):
     path = scratch(spark)
-    line = F.concat(F.lit("  "), "event_id", F.lit("   "), "value", F.lit("\t "), "user_id", F.lit(" "))
+    line = F.concat(F.lit("\t  "), "event_id", F.lit("   "), "value", F.lit("\t "), "user_id", F.lit(" "))
     table(spark, sf, "events").select(line).write.text(path)
     rows = readers.read_blank_separated(spark, path, ["event_id", "value", "user_id"])
     return rows.drop("file", "_block", "_line")
