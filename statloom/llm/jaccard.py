@@ -12,7 +12,9 @@ lower-cased; a shorter text is one shingle). Two documents link when
    own m: a longer prefix costs more postings but asks for m shared ones, so that
    the expected number of candidates, frequency over m, falls. A pair must share the
    smaller m of the two, within the prefixes that follow from both sizes: there o is
-   the overlap that this pair needs.
+   the overlap that this pair needs. Every class also carries ``BITS`` parities of its hashes;
+   where two differ in d of them, at least d shingles are in one set only, and pairs
+   with too many of those never leave the join (sets much longer than ``BITS`` pass).
 3. Documents of equal sets are one class, named by a 64-bit hash of the set.
 4. Stars. Each posting list links its classes to one centre, the class that holds the shingle
    at the earliest place, and so has the fewest rare ones; verified exactly. The groups
@@ -48,6 +50,8 @@ RARE = 4
 """Fewer sampled documents than this do not make a shingle frequent."""
 DEEPEST = 6
 """Most shared prefix shingles that a document may ask for."""
+BITS = 256
+"""Parities that are kept of a set."""
 VERIFY = 20.0
 """Cost of a candidate, in postings."""
 TOGETHER = 1_000
@@ -74,6 +78,12 @@ def named(shingles: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes()), np.uint64).view(np.int64))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the hashes in each of ``BITS`` classes are odd in number, as longs of 64 bits."""
+    odd = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequent(docs: DataFrame, size: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the most frequent shingles and their estimated frequencies."""
 
@@ -107,7 +117,7 @@ def prefix(shingles: np.ndarray, tokens: np.ndarray, often: np.ndarray, percent:
 
 
 def index(docs: DataFrame, size: int, percent: int, tokens: np.ndarray, often: np.ndarray) -> DataFrame:
-    """(doc_id, n, cls, deep, prefix) of every row."""
+    """(doc_id, n, cls, deep, bits, prefix) of every row."""
     held = docs.sparkSession.sparkContext.broadcast((tokens, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,21 +126,22 @@ def index(docs: DataFrame, size: int, percent: int, tokens: np.ndarray, often: n
                 out = []
                 for x in sets(w, size):
                     first, deep = prefix(x, *held.value, percent) if len(x) else (x, 0)
-                    out.append((len(x), named(x) if len(x) else None, deep, signed(first)))
-                n, cls, deep, firsts = zip(*out)
+                    out.append((len(x), named(x) if len(x) else None, deep, parities(x), signed(first)))
+                n, cls, deep, bits, firsts = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(row, len(out)),
                         pa.array(n, pa.int64()),
                         pa.array(cls, pa.int64()),
                         pa.array(deep, pa.int32()),
+                        pa.array(bits, pa.list_(pa.int64())),
                         pa.array(firsts, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "cls", "deep", "prefix"],
+                    names=["doc_id", "n", "cls", "deep", "bits", "prefix"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, cls long, deep int, prefix array<long>")
+    return arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, cls long, deep int, bits array<long>, prefix array<long>")
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -164,8 +175,9 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, perc
 def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links between classes that give the components of all links."""
     filled = rows.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(filled.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("deep").alias("deep")))
-    narrow, reps = classes.select("cls", "n", "deep"), classes.select("cls", "doc_id")
+    same = [F.first(c).alias(c) for c in ("n", "deep", "bits")]
+    classes = written(filled.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *same))
+    narrow, reps = classes.select("cls", "n", "deep", "bits"), classes.select("cls", "doc_id")
     postings = filled.select("cls", "prefix").dropDuplicates(["cls"]).select("cls", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.filter("token IS NOT NULL").repartition("token")
     centre = F.min(F.struct("pos", "cls"))
@@ -177,10 +189,13 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFram
     narrow = written(narrow.join(spots, "cls"))
 
     def close(a: dict[str, Column], b: dict[str, Column]) -> Column:
-        """Whether sizes fit, and a shared posting lies in the prefixes that this very pair asks for, which can hold enough."""
+        """Whether sizes and parities fit, and a shared posting lies in the prefixes that this very pair asks for, which can hold enough."""
         deep = F.least(a["deep"], b["deep"])
-        more = deep - F.ceil(percent * (a["n"] + b["n"]) / (100 + percent))
-        fits = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+        need = F.ceil(percent * (a["n"] + b["n"]) / (100 + percent))
+        more = deep - need
+        apart = sum(F.bit_count(F.get(a["bits"], F.lit(i)).bitwiseXOR(F.get(b["bits"], F.lit(i)))) for i in range(BITS // 64))
+        fits = a["n"] + b["n"] - apart >= 2 * need
+        fits &= 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
         for x in (a, b):
             fits &= (x["pos"] < x["n"] + more) & (F.get(x["spots"], deep - 1) < x["n"] + more)
         return fits
@@ -189,8 +204,8 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFram
         counted = pairs.groupBy("a", "b", "deep").agg(F.count("*").alias("hits"))
         return counted.filter("hits >= deep").select("a", "b")
 
-    sides = {k: narrow.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("deep").alias(f"deep{k}"), F.col("spots").alias(f"spots{k}")) for k in "ab"}
-    here = {k: {c: F.col(f"{c}{k}") for c in ("n", "deep", "pos", "spots")} for k in "ab"}
+    sides = {k: narrow.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("deep").alias(f"deep{k}"), F.col("spots").alias(f"spots{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab"}
+    here = {k: {c: F.col(f"{c}{k}") for c in ("n", "deep", "pos", "spots", "bits")} for k in "ab"}
     least = F.least("deepa", "deepb").alias("deep")
     stars = shared.filter("cls != centre.cls").select(F.col("centre.cls").alias("a"), F.col("centre.pos").alias("posa"), F.col("cls").alias("b"), F.col("pos").alias("posb"))
     stars = written(enough(stars.join(sides["a"], "a").join(sides["b"], "b").filter(close(here["a"], here["b"])).select("a", "b", least)))
@@ -201,7 +216,7 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFram
     tagged = tagged.join(narrow, "cls").repartition("token")
     mixed = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     mixed = written(tagged.join(mixed.select("token"), "token"))
-    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("cls", "label", "n", "deep", "pos", "spots")]) for k in "ab")
+    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("cls", "label", "n", "deep", "pos", "spots", "bits")]) for k in "ab")
     apart = (F.col("labela") != F.col("labelb")) & (F.col("clsa") < F.col("clsb"))
     rest = x.join(y, (x["token"] == y["token"]) & apart & close(here["a"], here["b"]))
     rest = enough(rest.select(F.col("clsa").alias("a"), F.col("clsb").alias("b"), least))

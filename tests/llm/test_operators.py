@@ -184,6 +184,14 @@ def test_jaccard(docs, rows, monkeypatch, size, percent, sample, rare):
     assert len(got) == len(rows) and [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
+def test_parities():
+    rng = np.random.default_rng(9)
+    for n, own in ((0, 1), (3, 0), (60, 12), (900, 300)):
+        x, y, z = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, own, own // 2))
+        a, b = (jaccard.parities(np.concatenate([x, part])).view(np.uint64) for part in (y, z))
+        assert len(a) == jaccard.BITS // 64 and sum(int(v).bit_count() for v in a ^ b) <= len(y) + len(z)
+
+
 def test_one_of_each(docs, rows, empty):
     kept = jaccard.one_of_each(docs)
     want = {c for _, _, c in brute_components(rows, 4, 85)}
