@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.describe import stack
+from statloom.operators.frequency import levels_of
 
 
-def confusion(df: DataFrame, actual: str, predicted: str, classes: Sequence) -> DataFrame:
-    """Counts of every (actual, predicted) pair of the given classes, empty pairs as 0."""
+def confusion(df: DataFrame, actual: str, predicted: str, classes: Sequence | None = None) -> DataFrame:
+    """Counts of every (actual, predicted) pair of the classes (by default all that occur), empty pairs as 0.
+
+    Without any class the table is empty.
+    """
+    classes = levels_of(df, actual, predicted) if classes is None else classes
+    if not classes:
+        return df.select(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"), F.lit(0).cast("bigint").alias("count")).where("false")
     pairs = [(a, p) for a in classes for p in classes]
     counts = df.agg(
         *[F.count(F.when((F.col(actual) == F.lit(a)) & (F.col(predicted) == F.lit(p)), 1)).alias(f"c{i}") for i, (a, p) in enumerate(pairs)]

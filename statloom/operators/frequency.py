@@ -51,27 +51,29 @@ def pie(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def crosstab(df: DataFrame, rows: str, cols: str, levels: Sequence, prefix: str = "") -> DataFrame:
-    """Contingency table with one column per level; empty cells are 0."""
-    cells = [F.count(F.when(F.col(cols) == F.lit(v), 1)).alias(f"{prefix}{v}") for v in levels]
-    return df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull()).groupBy(rows).agg(*cells)
+def levels_of(df: DataFrame, *cols: str) -> list:
+    """Sorted present values of class columns; they become columns or cells of a table, so they are few."""
+    found = df.select(F.explode(F.array(*cols)).alias("v")).where(F.col("v").isNotNull()).distinct()
+    return sorted(r["v"] for r in found.collect())
 
 
-def levels_of(df: DataFrame, col: str, most: int = 200) -> list:
-    """Sorted distinct values of a class column, refusing columns with too many."""
-    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{col} has more than {most} classes")
-    return sorted(r[0] for r in found)
+def crosstab(df: DataFrame, rows: str, cols: str, levels: Sequence | None = None, prefix: str = "") -> DataFrame:
+    """Contingency table with one column per level (by default every level of rows that have both); empty cells are 0."""
+    both = df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull())
+    levels = levels_of(both, cols) if levels is None else levels
+    cells = [F.count(F.when(F.col(cols) == F.lit(v), 1)).alias(f"{prefix}{v}") for v in levels]
+    return both.groupBy(rows).agg(*cells) if cells else both.select(rows).distinct()
 
 
-def crosstab_percent(df: DataFrame, rows: str, cols: str, levels: Sequence, prefix: str = "") -> DataFrame:
+def crosstab_percent(df: DataFrame, rows: str, cols: str, levels: Sequence | None = None, prefix: str = "") -> DataFrame:
     """Contingency table with row totals and the percent of each class's own rows."""
+    if levels is None:
+        levels = levels_of(df.where(F.col(rows).isNotNull()), cols)
     names = [f"{prefix}{v}" for v in levels]
     table = crosstab(df, rows, cols, levels, prefix)
     present = df.where(F.col(rows).isNotNull())
-    sums = present.agg(*[F.count(F.when(F.col(cols) == F.lit(v), 1)).alias(n) for v, n in zip(levels, names)]).first()
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    sums = present.agg(F.count(F.lit(1)), *[F.count(F.when(F.col(cols) == F.lit(v), 1)).alias(n) for v, n in zip(levels, names)]).first()
+    total = sum((F.col(n) for n in names), F.lit(0).cast("bigint"))
     return table.select(
         rows,
         *names,

@@ -116,17 +116,20 @@ def top_terms(weights: DataFrame, key: str, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def chi_square(df: DataFrame, key: str, text: str, positive: Column, min_documents: int = 1) -> DataFrame:
-    """Chi-square of term presence against a yes/no class, from 2 x 2 counts."""
+def presence(df: DataFrame, key: str, text: str, positive: Column) -> tuple[DataFrame, float, float]:
+    """(term, a, b): texts of the class and other texts that hold each term; then all texts and those of the class."""
     flagged = df.select(key, text, F.coalesce(positive, F.lit(False)).alias("_pos"))
-    totals = flagged.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("_pos").cast("bigint")).alias("p")
-    ).first()
-    n, p = float(totals["n"]), float(totals["p"] or 0)
+    totals = flagged.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_pos").cast("bigint")).alias("p")).first()
     terms = flagged.select("_pos", F.explode(F.array_distinct(words(F.lower(text)))).alias("term"))
     counts = terms.groupBy("term").agg(
         F.sum(F.col("_pos").cast("double")).alias("a"), F.sum((~F.col("_pos")).cast("double")).alias("b")
     )
+    return counts, float(totals["n"]), float(totals["p"] or 0)
+
+
+def chi_square(df: DataFrame, key: str, text: str, positive: Column, min_documents: int = 1) -> DataFrame:
+    """Chi-square of term presence against a yes/no class, from 2 x 2 counts."""
+    counts, n, p = presence(df, key, text, positive)
     a, b = F.col("a"), F.col("b")
     c, d = F.lit(p) - a, F.lit(n - p) - b
     below = (a + b) * (c + d) * (a + c) * (b + d)
@@ -134,3 +137,16 @@ def chi_square(df: DataFrame, key: str, text: str, positive: Column, min_documen
     return counts.where(a + b >= min_documents).select(
         "term", (a + b).cast("bigint").alias("documents"), F.coalesce(value, F.lit(0.0)).alias("chi2")
     )
+
+
+def mutual_information(df: DataFrame, key: str, text: str, positive: Column, min_documents: int = 1) -> DataFrame:
+    """Mutual information (in nats) of term presence and a yes/no class; empty cells add nothing."""
+    counts, n, p = presence(df, key, text, positive)
+    a, b = F.col("a"), F.col("b")
+    c, d = F.lit(p) - a, F.lit(n - p) - b
+
+    def part(cell: Column, row: Column, column: float) -> Column:
+        return F.when(cell > 0, cell / n * F.log(cell * n / (row * column))).otherwise(F.lit(0.0))
+
+    value = part(a, a + b, p) + part(b, a + b, n - p) + part(c, c + d, p) + part(d, c + d, n - p)
+    return counts.where(a + b >= min_documents).select("term", (a + b).cast("bigint").alias("documents"), value.alias("information"))

@@ -40,7 +40,7 @@ def study_all(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, Dataset
             results[name] = study(df, data)
             log.append((name, "ok", None))
         except Exception as error:
-            log.append((name, "failed", f"{type(error).__name__}: {error}"[:500]))
+            log.append((name, "failed", f"{type(error).__name__}: {error}"))
     return results, spark.createDataFrame(log, "dataset string, status string, error string")
 
 

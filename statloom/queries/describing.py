@@ -265,7 +265,7 @@ FROM lineitem GROUP BY l_returnflag
 """)
 def q_crosstab(spark, sf):
     rows = lineitem(spark, sf)
-    return frequency.crosstab(rows, "l_returnflag", "l_linestatus", ["F", "O"])
+    return frequency.crosstab(rows, "l_returnflag", "l_linestatus")
 
 
 @query("""
@@ -276,7 +276,7 @@ SELECT l_returnflag, status_F, status_O, status_F + status_O AS total,
        status_O * 100.0::DOUBLE / nullif((SELECT sum(status_O) FROM c), 0)::DOUBLE AS status_O_pct_within_group FROM c
 """)
 def q_crosstab_pct(spark, sf):
-    return frequency.crosstab_percent(lineitem(spark, sf), "l_returnflag", "l_linestatus", ["F", "O"], "status_")
+    return frequency.crosstab_percent(lineitem(spark, sf), "l_returnflag", "l_linestatus", prefix="status_")
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS count FROM orders GROUP BY o_orderpriority, o_orderstatus")

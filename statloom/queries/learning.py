@@ -101,7 +101,7 @@ WITH {RULED}, p AS (SELECT a.v AS actual, b.v AS predicted FROM (VALUES (0), (1)
 SELECT actual, predicted, count(t.actual) AS count FROM p LEFT JOIN t USING (actual, predicted) GROUP BY actual, predicted
 """)
 def q_confusion_matrix(spark, sf):
-    return metrics.confusion(ruled(spark, sf), "actual", "predicted", [0, 1])
+    return metrics.confusion(ruled(spark, sf), "actual", "predicted")
 
 
 @query(f"""

@@ -96,6 +96,21 @@ def q_chi_square(spark, sf):
     return text.chi_square(documents(spark, sf), "doc_id", "text", F.col("lang") == "en")
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, coalesce(lang = 'en', false) AS pos, unnest(list_distinct({WORDS})) AS term FROM documents),
+n AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (lang = 'en'))::DOUBLE AS p FROM documents),
+c AS (SELECT term, (count(*) FILTER (pos))::DOUBLE AS a, (count(*) FILTER (NOT pos))::DOUBLE AS b FROM t GROUP BY term),
+x AS (SELECT term, a, b, p - a AS c, n - p - b AS d, n, p FROM c, n)
+SELECT term, (a + b)::BIGINT AS documents, round(
+    CASE WHEN a > 0 THEN a / n * ln(a * n / ((a + b) * p)) ELSE 0 END + CASE WHEN b > 0 THEN b / n * ln(b * n / ((a + b) * (n - p))) ELSE 0 END
+  + CASE WHEN c > 0 THEN c / n * ln(c * n / ((c + d) * p)) ELSE 0 END + CASE WHEN d > 0 THEN d / n * ln(d * n / ((c + d) * (n - p))) ELSE 0 END
+  , 9) + 0.0::DOUBLE AS information FROM x
+""")
+def q_mutual_information(spark, sf):
+    found = text.mutual_information(documents(spark, sf), "doc_id", "text", F.col("lang") == "en")
+    return found.withColumn("information", F.round("information", 9) + 0.0)
+
+
 @query("""
 SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' / ' || p_brand)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
 FROM part

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import array_std, unescape
+from statloom.learning import metrics
 from statloom.operators import cleaning, describe, frequency, series
 from statloom.sources.readers import split_blanks
 
@@ -66,3 +67,14 @@ def test_long_arrays(spark):
     values = np.random.default_rng(1).normal(5, 2, 100_000)
     got = spark.createDataFrame([(values.tolist(),), ([],), (None,)], "a array<double>").select(array_std(F.col("a"))).collect()
     assert got[0][0] == pytest.approx(values.std()) and got[1][0] is None and got[2][0] is None
+
+
+def test_levels_come_from_the_data(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "z"), ("b", "y"), ("b", None), (None, "w")], "g string, c string")
+    assert frequency.crosstab(df, "g", "c").columns == ["g", "x", "y", "z"]
+    assert {r["g"]: r["total"] for r in frequency.crosstab_percent(df, "g", "c").collect()} == {"a": 2, "b": 1}
+    assert metrics.confusion(df, "g", "c").count() == 36
+    none = df.where("c = 'no'")
+    assert frequency.crosstab(none, "g", "c").count() == 0
+    assert frequency.crosstab_percent(none, "g", "c").count() == 0
+    assert metrics.confusion(none, "g", "c").count() == 0
