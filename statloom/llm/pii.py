@@ -7,12 +7,15 @@ and context features (the characters beside it, a telling word before it). Boost
 it, and it is added where its score reaches its kind's threshold and it overlaps no base span or
 added span that begins before it.
 
-No table marks personal data, so the trees learn from the base rules: a candidate that equals a
-base span is positive, any other negative. They are fitted on at most ``SAMPLE`` candidates, those
-with the lowest hash; a quarter of these, left out of the fit, sets each kind's threshold at
-the lowest score from which on ``PRECISION`` of the candidates are positive (none: nothing is
-added). The fitted trees are one column expression: texts are read, matched and scored by
-DataFrame functions only.
+No table marks personal data, so the trees learn from weak labels that are not the base rule. Base spans are
+rewritten in their own surroundings into forms the base rules miss (phone numbers without a plus sign or behind
+a telling word, addresses with ``(at)`` and ``(dot)``, other separators): positive. Number runs in other
+surroundings (dates, sums, versions, failed checks), mentions, and candidates that touch a letter and no base
+span are negative. Other candidates that are no base span are unknown and left out. At most ``SAMPLE`` examples
+are made, from the spans with the lowest hash; in a quarter of those fitted the plus and at signs are masked.
+Another quarter, split by the span rewritten, is left out of the fit and sets each kind's threshold: the lowest score
+from which on ``PRECISION`` of the examples that are no base spans are positive (none: nothing is added). The
+fitted trees are one column expression: texts are read, matched and scored by DataFrame functions only.
 
 Places count code points, ends are exclusive. Null and empty texts have no spans. Repeated rows
 are treated alike. An empty table gives an empty result.
@@ -41,12 +44,12 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 WIDE = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[\w-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]{1,63}+){1,5}",
+    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[\w-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.| \. )[\w-]{1,63}+){1,5}",
     "number": r"(?<![0-9])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,18}+(?![0-9])",
 }
 TELLING = r"(?i)(mail|contact|tel|phone|call|fax|mobile|card|visa|account|ip|host|addr)\W{0,3}$"
 
-FEATURES = ("kind", "digits", "length", "signs", "dots", "plus", "at", "octets", "luhn", "letter_before", "digit_before", "letter_after", "telling", "line_start")
+FEATURES = ("kind", "digits", "length", "signs", "dots", "plus", "at", "octets", "luhn", "letter_before", "digit_before", "letter_after", "telling", "line_start", "groups", "first_group", "last_group", "marks", "blank_dots", "word_end")
 
 
 def digits(s: Column) -> Column:
@@ -106,7 +109,7 @@ def spans(docs: DataFrame, key: list[str], text: str) -> DataFrame:
         return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("stop"), kind(m["value"]).alias("kind"), m["value"].alias("value")))
 
     def guess(v: Column) -> Column:
-        return F.when(v.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), 1).when(~v.startswith("+") & (F.length(digits(v)) >= 12), 2).otherwise(3)
+        return F.when(v.rlike(r"^[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}$"), 1).when(~v.startswith("+") & (F.length(digits(v)) >= 12) & luhn(digits(v)), 2).otherwise(3)
 
     base = F.sort_array(F.concat(*[as_spans(f"_b_{k}", lambda v, i=i: F.lit(i), lambda v, k=k: passes(k, v)) for i, k in enumerate(KINDS)]))
     base = F.sort_array(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
@@ -126,6 +129,8 @@ def features(text: Column, span: Column) -> Column:
         span["kind"], F.length(n), F.length(v), F.length(F.regexp_replace(v, r"[^ ()-]", "")), F.length(F.regexp_replace(v, r"[^.]", "")),
         v.startswith("+"), v.contains("@"), (span["kind"] == 1) & passes("ip", v), luhn(n),
         before.rlike(r"\p{L}"), before.rlike("[0-9]"), after.rlike(r"\p{L}"), near.rlike(TELLING), before == "\n",
+        F.regexp_count(v, F.lit("[0-9]+")), F.length(F.regexp_extract(v, "[0-9]+", 0)), F.length(F.regexp_extract(v, "([0-9]+)[^0-9]*$", 1)),
+        F.regexp_count(v, F.lit(r"[(\[](at|dot)[)\]]")), F.regexp_count(v, F.lit(r" \.|\. ")), v.rlike("(?<![A-Za-z])[a-z]{2,}$"),
     ]
     return F.array(*[x.cast("double") for x in values])
 
@@ -173,11 +178,12 @@ def apply(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, tree[0]] <= tree[1], apply(tree[2], x), apply(tree[3], x))
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Logistic boosting; the thresholds come from rows left out of the fit."""
+def boost(x: np.ndarray, y: np.ndarray, out: np.ndarray | None = None, counts: np.ndarray | None = None) -> Trees:
+    """Logistic boosting; the thresholds come from the rows left ``out`` of the fit that count."""
     if not len(x):
         return Trees((), (np.inf,) * len(KINDS))
-    out = np.arange(len(x)) % 4 == 3
+    out = np.arange(len(x)) % 4 == 3 if out is None else out
+    counts = np.ones(len(x), bool) if counts is None else counts
     power, trees = np.zeros(len(x)), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-power))
@@ -185,7 +191,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
         power += apply(trees[-1], x)
     cuts = []
     for kind in range(len(KINDS)):
-        mine = out & (x[:, 0] == kind)
+        mine = out & counts & (x[:, 0] == kind)
         order = np.argsort(-power[mine], kind="stable")
         s, good = power[mine][order], np.cumsum(y[mine][order])
         last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
@@ -194,17 +200,120 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(tuple(trees), tuple(cuts))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """One row per candidate: features and whether it equals a base span."""
-    each = found.select("_t", "_base", F.explode("_wide").alias("s"))
-    same = F.exists("_base", lambda b: (b["start"] == F.col("s.start")) & (b["stop"] == F.col("s.stop")) & (b["kind"] == F.col("s.kind")))
-    return each.select(features(F.col("_t"), F.col("s")).alias("x"), same.cast("int").alias("y"), F.xxhash64("_t", "s.start").alias("h"))
+def sources(found: DataFrame) -> DataFrame:
+    """Base spans, and candidates that touch a letter and no base span, each once with what stands around it."""
+    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    lettered = lambda s: (F.substr("_t", s["start"], F.lit(1)).rlike(r"\p{L}") & (s["start"] > 0)) | F.substr("_t", s["stop"] + 1, F.lit(1)).rlike(r"\p{L}")
+    plain = lambda rows, base: F.transform(rows, lambda s: F.struct(F.lit(base).alias("base"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    each = found.select("_t", F.explode(F.concat(plain("_base", True), plain(F.filter("_wide", lambda s: lettered(s) & apart(s)), False))).alias("s"))
+    start, stop = F.col("s.start"), F.col("s.stop")
+    texts = {
+        "before": F.substr("_t", F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))),
+        "value": F.substr("_t", start + 1, stop - start),
+        "after": F.substr("_t", stop + 1, F.lit(12)),
+    }
+    rows = each.filter(stop - start <= 100).select("s.base", "s.kind", *[c.alias(n) for n, c in texts.items()])
+    return rows.withColumn("h", F.xxhash64(*rows.columns)).dropDuplicates()
+
+
+def rewritten() -> Column:
+    """(how, kind, y, before, value) of the examples made of a source; ``as it is`` is no example of what is added."""
+    v, h, before = F.col("value"), F.col("h"), F.col("before")
+    kind = F.col("kind")
+    neutral = F.regexp_replace(before, TELLING, "... ")
+    z = F.rpad(F.regexp_replace(h.cast("string"), "-", ""), 19, "5")
+    part = lambda a, n: F.substr(z, F.lit(a), F.lit(n))
+
+    def example(how: str, y: int, value: Column, ahead: Column = before, k=kind) -> Column:
+        return F.struct(F.lit(how).alias("how"), k.cast("int").alias("kind"), F.lit(y).alias("y"), ahead.alias("before"), value.alias("value"))
+
+    local = F.regexp_replace(v, r"^\+[0-9]{1,3}[ .-]*(?=[0-9(])", "")
+    spaced = lambda sign: F.regexp_replace(F.regexp_replace(local, "[()]", ""), "[ .-]+", sign)
+    user, host = F.regexp_extract(v, "^([^@]*)@", 1), F.regexp_extract(v, "@(.*)$", 1)
+    hidden = lambda at, dot: F.concat(user, F.lit(at), F.regexp_replace(host, r"\.", dot))
+    word = F.regexp_replace(user, "[^A-Za-z]", "")
+    fours = lambda d, sign: F.regexp_replace(d, "([0-9]{4})(?=[0-9])", f"$1{sign}")
+    d = digits(v)
+    spoilt = F.concat(F.substr(d, F.lit(1), F.length(d) - 1), ((F.substr(d, F.length(d), F.lit(1)).try_cast("int") + 1) % 10).cast("string"))
+    wrong = F.regexp_replace(v, "^[0-9]+", "734")
+    own = {
+        0: [example("(at)(dot)", 1, hidden("(at)", "(dot)")), example("(at) (dot)", 1, hidden(" (at) ", " (dot) ")), example("[at][dot]", 1, hidden("[at]", "[dot]")),
+            example("(at) and dots", 1, hidden(" (at) ", ".")), example("blanks at the sign", 1, hidden(" @ ", ".")),
+            example("mention", 0, F.concat(word, F.lit(" @ "), word, F.lit(" . Then"))), example("price", 0, F.concat(word, F.lit(" (at) "), part(1, 2), F.lit("."), part(3, 2)))],
+        1: [example("dot blank", 1, F.regexp_replace(v, r"\.", ". ")), example("blank dot", 1, F.regexp_replace(v, r"\.", " .")),
+            example("octet too large", 0, wrong, neutral), example("octet too large, blanks", 0, F.regexp_replace(wrong, r"\.", ". "), neutral)],
+        2: [example("dots", 1, fours(d, ".")), example("two blanks", 1, fours(d, "  ")), example("dots and blanks", 1, fours(d, ". ")),
+            example("failed check", 0, fours(spoilt, "."), neutral), example("failed check, blanks", 0, fours(spoilt, " "), neutral)],
+        3: [example("no plus", 1, F.substr(v, F.lit(2), F.length(v))), example("double zero", 1, F.concat(F.lit("00"), F.substr(v, F.lit(2), F.length(v)))), example("local", 1, local),
+            example("dots", 1, spaced(".")), example("dashes", 1, spaced("-")), example("blanks", 1, spaced(" ")),
+            example("behind a word", 1, digits(local), F.concat(before, F.lit("tel ")))],
+    }
+    runs = {
+        "plain run": F.substr(z, F.lit(1), (7 + F.pmod(h, F.lit(13))).cast("int")),
+        "date": F.concat(F.lit("20"), part(1, 2), F.lit("-0"), part(3, 1), F.lit("-1"), part(4, 1)),
+        "date with dots": F.concat(F.lit("1"), part(1, 1), F.lit(".0"), part(2, 1), F.lit(".20"), part(3, 2)),
+        "thousands": F.concat(part(1, 2), F.lit("."), part(3, 3), F.lit("."), part(6, 3)),
+        "thousands, blanks": F.concat(part(1, 1), F.lit(" "), part(2, 3), F.lit(" "), part(5, 3), F.lit(" "), part(8, 3)),
+        "decimal": F.concat(part(1, 4), F.lit("."), part(5, 5)),
+        "years": F.concat(F.lit("19"), part(1, 2), F.lit(" 19"), part(3, 2), F.lit(" 20"), part(5, 2)),
+        "version": F.concat(part(1, 1), F.lit("."), part(2, 2), F.lit("."), part(4, 4)),
+    }
+    as_is = example("as it is", 1, v)
+    negative = [example(n, 0, value, neutral) for n, value in runs.items()]
+    lists = F.when(kind == 0, F.array(as_is, *own[0], *negative))
+    for k in (1, 2, 3):
+        lists = lists.when(kind == k, F.array(as_is, *own[k], *negative))
+    # A number written without separators has no other way of separating it.
+    made = F.filter(lists, lambda e: (kind != 3) | (e["y"] == 0) | e["how"].isin("as it is", "behind a word") | (e["value"] != digits(e["value"])))
+    return F.when(F.col("base"), made).otherwise(F.array(example("beside a letter", 0, v)))
+
+
+def examples(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> DataFrame:
+    """how, kind, y, held (left out of the fit) and the features x of at most ``most`` weakly labelled examples.
+
+    The features are null where the wide generators do not propose the span under its kind.
+    """
+    chosen = sources(spans(docs, [], text)).orderBy("h").limit(most // 16)
+    each = chosen.select("h", "after", F.inline(rewritten()))
+    marked = each.select("h", "how", "kind", "y", F.length("before").alias("start"), (F.length("before") + F.length("value")).alias("stop"), F.concat("before", "value", "after").alias("_x"))
+    found = spans(marked, ["h", "how", "kind", "y", "start", "stop"], "_x")
+    here = F.filter("_wide", lambda s: (s["start"] == F.col("start")) & (s["stop"] == F.col("stop")) & ((F.col("y") == 0) | (s["kind"] == F.col("kind"))))
+    known = F.exists("_base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))
+    hit = held(found, _hit=F.get(here, F.lit(0))).filter(~known | (F.col("how") == "as it is"))
+    x = F.when(F.col("_hit").isNotNull(), features(F.col("_t"), F.col("_hit")))
+    return hit.select("h", "how", "kind", "y", (F.pmod("h", F.lit(4)) == 3).alias("held"), x.alias("x"))
+
+
+def trained(rows: list) -> Trees:
+    """Fit and calibrate on collected examples."""
+    rows = [r for r in rows if r["x"] is not None]
+    x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
+    out = np.array([r["held"] for r in rows], bool)
+    masked = np.flatnonzero(~out)[::4]
+    x[np.ix_(masked, [FEATURES.index("plus"), FEATURES.index("at")])] = 0
+    return boost(x, np.array([r["y"] for r in rows], float), out, np.array([r["how"] != "as it is" for r in rows], bool))
+
+
+def collected(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> list:
+    return sorted(examples(docs, text, most).collect(), key=lambda r: (r["h"], r["how"]))
 
 
 def fit(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> Trees:
-    rows = candidates(spans(docs, [], text)).orderBy("h", "y").limit(most).collect()
-    x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return boost(x, np.array([r["y"] for r in rows], float))
+    return trained(collected(docs, text, most))
+
+
+def held_out(rows: list, model: Trees) -> dict[str, tuple[int, int, int]]:
+    """Per kind, of the examples left out of the fit that are no base spans: positives, positives added, negatives added."""
+    out = {k: [0, 0, 0] for k in KINDS}
+    for r in rows:
+        if not r["held"] or r["how"] == "as it is":
+            continue
+        x = None if r["x"] is None else np.array([r["x"]], float)
+        kind = r["kind"] if x is None else int(x[0, 0])
+        added = x is not None and sum(apply(t, x)[0] for t in model.trees) >= model.thresholds[kind]
+        out[KINDS[kind]][0] += r["y"]
+        out[KINDS[kind]][1 if r["y"] else 2] += bool(added)
+    return {k: tuple(v) for k, v in out.items()}
 
 
 def redactions(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:

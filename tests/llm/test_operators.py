@@ -280,6 +280,17 @@ def test_pii(spark):
     assert pii.redactions(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
 
 
+def test_pii_beyond_the_base_rules(spark):
+    rows = [(i, f"as ereou {i % 7}a nti +1 ({i:03d}) 555-{i * 7919 % 10000:04d} hend u{i}.k@m{i}.org, ouan {1 + i % 200}.{i % 99}.{i % 250}.121 er 41111111111{i:05d} tin") for i in range(300)]
+    new = [(900, "ereou (017) 555-7713 hend"), (901, "ouan hein.4(at)mail5(dot)org tin"), (902, "ouan hein.4 (at) mail5 (dot) org. Then on"),
+           (903, "ereou 2024-05-17 nti"), (904, "ereou 12.345.678 nti"), (905, "ereou 83920184 nti"), (906, "ouan (at) 12.50 nti")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    texts = dict(new)
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"]] for r in pii.redactions(spark.createDataFrame(new, docs.schema), model).collect()}
+    assert got == {900: ["(017) 555-7713"], 901: ["hein.4(at)mail5(dot)org"], 902: ["hein.4 (at) mail5 (dot) org"], 903: [], 904: [], 905: [], 906: []}
+
+
 def test_trees_as_columns(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 6, (900, len(pii.FEATURES))).astype(float)
