@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,13 +69,21 @@ def cluster_models(k: int) -> dict:
     }
 
 
-def compare_clusterings(rows: DataFrame, k: int, dataset: str) -> DataFrame:
-    """Silhouette of each algorithm at the same K."""
-    rows = shifted(rows.select("features")).persist()
+def compare_clusterings(rows: DataFrame, k: int, dataset: str, mixture_dims: int | None = None) -> DataFrame:
+    """Silhouette of each algorithm at the same K, over all features.
+
+    With ``mixture_dims``, the mixture alone is fitted on that many leading features.
+    """
+    rows = shifted(rows.select("features"))
+    chosen = cluster_models(k)
+    if mixture_dims is not None:
+        rows = VectorSlicer(inputCol="features", outputCol="leading", indices=list(range(mixture_dims))).transform(rows)
+        chosen["gaussian_mixture"].setFeaturesCol("leading")
+    rows = rows.persist()
     try:
         found = [
             (dataset, name, k, silhouette(model.fit(rows).transform(rows)))
-            for name, model in cluster_models(k).items()
+            for name, model in chosen.items()
         ]
     finally:
         rows.unpersist()

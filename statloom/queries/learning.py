@@ -169,6 +169,31 @@ def q_silhouette(spark, sf):
     return clusters.point_silhouettes(points(spark, sf), "vec_id", ["x1", "x2"], "label")
 
 
+@query(f"""
+SELECT label, {", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS {c}" for i, c in enumerate(DIMS))}, count(*) AS n,
+       avg(CAST(embedding[3] > 0 AS INTEGER)) * 100 AS share_percent FROM embeddings GROUP BY label
+""")
+def q_cluster_profile_all(spark, sf):
+    return clusters.profile(points(spark, sf), "label", DIMS, F.col("x3") > 0)
+
+
+@query("""
+WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, label, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM p),
+q AS (SELECT vec_id, label, sum(x * x) AS q FROM u GROUP BY ALL),
+c AS (SELECT label AS other, count(*) AS n, sum(q) AS ss FROM q GROUP BY label),
+s AS (SELECT label AS other, i, sum(x) AS sx FROM u GROUP BY ALL),
+t AS (SELECT vec_id, label, other, sum(x * sx) AS xs FROM u JOIN s USING (i) GROUP BY ALL),
+d AS (SELECT vec_id, t.label, other, n, greatest((n * q - 2 * xs + ss) / CASE WHEN other = t.label THEN greatest(n - 1, 1) ELSE n END, 0) AS dist
+      FROM t JOIN q USING (vec_id) JOIN c USING (other)),
+ab AS (SELECT vec_id, label, max(dist) FILTER (other = label) AS a, min(dist) FILTER (other <> label) AS b,
+              max(n) FILTER (other = label) AS n FROM d GROUP BY vec_id, label)
+SELECT vec_id, label, CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS silhouette FROM ab
+""")
+def q_silhouette_all(spark, sf):
+    return clusters.point_silhouettes(points(spark, sf), "vec_id", DIMS, "label")
+
+
 @query("""
 SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept,
        regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY l_returnflag
@@ -308,7 +333,7 @@ def q_bisecting(spark, sf):
 
 @query()
 def q_cluster_comparison(spark, sf):
-    return clusters.compare_clusterings(scaled_points(spark, sf, MIXTURE_DIMS), 2, "embeddings")
+    return clusters.compare_clusterings(scaled_points(spark, sf), 2, "embeddings", len(MIXTURE_DIMS))
 
 
 @query("""
