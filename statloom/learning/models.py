@@ -221,6 +221,15 @@ def ar2_forecast(fit: DataFrame, steps: int, by: Sequence[str]) -> DataFrame:
     )
 
 
+def ar2_held_out(df: DataFrame, col: str, order: Sequence[str], split: str = "split") -> DataFrame:
+    """(order, actual, predicted, model) of the test rows of one series, forecast from its training rows only."""
+    df = fixed(df)
+    fit = ar2_fit(df.where(F.col(split) == "train"), col, order, [])
+    test = over_rows(df.where(F.col(split) == "test").select(*order, col), order, lambda w, before: {"step": (F.row_number().over(w) + before).cast("int")})
+    ahead = ar2_forecast(fit, max(test.count(), 1), [])
+    return test.join(ahead, "step").select(*order, F.col(col).cast("double").alias("actual"), F.col("forecast").alias("predicted"), F.lit("ar2").alias("model"))
+
+
 def simple_regression(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Slope, intercept and R2 of a one-variable least-squares line."""
     return df.groupBy(*by).agg(

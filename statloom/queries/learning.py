@@ -96,6 +96,11 @@ def scored_regressor(spark, sf, name, **sizes):
     return models.regression_scores(rows, "hourly events")
 
 
+def ar_predictions(spark, sf):
+    """The test hours forecast from the training hours alone, as far ahead as they reach."""
+    return models.ar2_held_out(hourly_rows(spark, sf).select("hour_start", "value", "split"), "value", ["hour_start"])
+
+
 @query(f"""
 WITH {RULED}, p AS (SELECT a.v AS actual, b.v AS predicted FROM (VALUES (0), (1)) a(v), (VALUES (0), (1)) b(v))
 SELECT actual, predicted, count(t.actual) AS count FROM p LEFT JOIN t USING (actual, predicted) GROUP BY actual, predicted
@@ -252,8 +257,8 @@ def q_gbt_regressor(spark, sf):
 @query()
 def q_predictions(spark, sf):
     train, test = prepared_hours(spark, sf)
-    chosen = {k: v for k, v in models.regressors().items() if k != "boosted_trees"}
-    return models.predictions(train, test, chosen, ["hour_start"])[0]
+    rows, _ = models.predictions(train, test, models.regressors(), ["hour_start"])
+    return stack([rows, ar_predictions(spark, sf)])
 
 
 @query()
@@ -303,9 +308,10 @@ def q_three_class(spark, sf):
 @query()
 def q_model_comparison(spark, sf):
     train, test = prepared_documents(spark, sf)
-    scores = models.classification_scores(train, test, "document quality", ["logistic_regression", "random_forest"])
-    regression = [scored_regressor(spark, sf, n) for n in ("linear_regression", "random_forest")]
-    return stack([scores, *regression], fill_missing=True)
+    scores = models.classification_scores(train, test, "document quality", list(models.classifiers()))
+    regression = [scored_regressor(spark, sf, n) for n in models.regressors()]
+    held_out = models.regression_scores(ar_predictions(spark, sf), "hourly events")
+    return stack([scores, *regression, held_out], fill_missing=True)
 
 
 def scaled_points(spark, sf, dims=DIMS):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from statloom.learning import clusters
+from statloom.learning import clusters, models
 from statloom.queries import QUERIES, learning
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +19,23 @@ def test_comparison_clusters_all_dimensions(spark):
     got = {r["algorithm"]: r["silhouette"] for r in QUERIES["q_cluster_comparison"](spark, SF).collect()}
     model = clusters.cluster_models(2)["kmeans"].fit(rows.select("features"))
     assert abs(got["kmeans"] - clusters.silhouette(model.transform(rows))) < 0.02 and len(got) == 3
+
+
+def test_every_model_is_compared(spark, monkeypatch):
+    regressors, scored = models.regressors, models.classification_scores
+    monkeypatch.setattr(models, "regressors", lambda **_: regressors(trees=2, boosts=2))
+    monkeypatch.setattr(models, "classification_scores", lambda *a: scored(*a, trees=2))
+    wanted = {*regressors(), "ar2"}
+    got = {(r["task"], r["model"]) for r in QUERIES["q_model_comparison"](spark, SF).collect()}
+    assert got == {("classification", n) for n in models.classifiers()} | {("regression", n) for n in wanted}
+    counts = {r["model"]: r["count"] for r in QUERIES["q_predictions"](spark, SF).groupBy("model").count().collect()}
+    assert set(counts) == wanted and len(set(counts.values())) == 1
+
+
+def test_held_out_forecast(spark):
+    y = [1.0, 3.0]
+    while len(y) < 40:
+        y.append(0.5 + 0.6 * y[-1] - 0.3 * y[-2])
+    rows = spark.createDataFrame([(i, v, "train" if i < 30 else "test") for i, v in enumerate(y)], "t int, y double, split string")
+    got = models.ar2_held_out(rows, "y", ["t"]).orderBy("t").collect()
+    assert [r["t"] for r in got] == list(range(30, 40)) and all(abs(r["actual"] - r["predicted"]) < 1e-4 for r in got)
