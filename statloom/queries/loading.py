@@ -53,6 +53,29 @@ def q_read_tagged(spark, sf):
     return readers.read_tagged(spark, path, "RECORD", "NEWID", ["TITLE", "BODY"], ["TOPICS"])
 
 
+def tagged(col):
+    """Escaped text for a latin-1 file: markup by name, characters beyond latin-1 by number."""
+    named = F.coalesce(col, F.lit(""))
+    for char, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        named = F.replace(named, F.lit(char), F.lit(code))
+    numbered = F.transform(F.split(named, ""), lambda c: F.when(F.ascii(c) > 255, F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))).otherwise(c))
+    return F.when(named.rlike(r"[^\x00-\xFF]"), F.array_join(numbered, "")).otherwise(named)
+
+
+@query("""
+SELECT doc_id::INTEGER AS newid, trim(regexp_replace(coalesce(source, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS title,
+       trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS body, [lang, source] AS topics FROM documents
+""")
+def q_read_tagged_text(spark, sf):
+    path = scratch(spark)
+    record = F.concat(
+        F.lit('<RECORD KIND="x" NEWID="'), "doc_id", F.lit('"><TOPICS><D>'), "lang", F.lit("</D><D>"), "source",
+        F.lit("</D></TOPICS>\n<TITLE>"), tagged(F.col("source")), F.lit("</TITLE><BODY>"), tagged(F.col("text")), F.lit("</BODY></RECORD>"),
+    )
+    table(spark, sf, "documents").select(F.encode(record, "ISO-8859-1").cast("string")).write.text(path)
+    return readers.read_tagged(spark, path, "RECORD", "NEWID", ["TITLE", "BODY"], ["TOPICS"])
+
+
 @query("SELECT p_partkey, regexp_split_to_array(trim(p_name), '\\s+') AS tokens, len(regexp_split_to_array(trim(p_name), '\\s+'))::INTEGER AS n FROM part")
 def q_split_whitespace(spark, sf):
     tokens = readers.split_blanks(F.col("p_name"))

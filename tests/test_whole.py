@@ -1,9 +1,10 @@
 """Queries that once did a part of the job."""
 
+import oracle
 from pyspark.sql import functions as F
 
 from statloom.learning import clusters, models
-from statloom.queries import QUERIES, learning
+from statloom.queries import QUERIES, SQL, learning
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,12 @@ def test_held_out_forecast(spark):
     rows = spark.createDataFrame([(i, v, "train" if i < 30 else "test") for i, v in enumerate(y)], "t int, y double, split string")
     got = models.ar2_held_out(rows, "y", ["t"]).orderBy("t").collect()
     assert [r["t"] for r in got] == list(range(30, 40)) and all(abs(r["actual"] - r["predicted"]) < 1e-4 for r in got)
+
+
+def test_tagged_records_hold_whole_texts(spark, tmp_path):
+    texts = ["<b>x</b> &amp; a&lt;b\n\n c > d", "é ß 你好 😀 &#65; “q”", "</BODY></RECORD> &nbsp;", " \t ", None, "wörd\n" * 20_000]
+    rows = [(i, t, "en", "web", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["newid"]: r["body"] for r in QUERIES["q_read_tagged_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: " ".join((t or "").split()) for i, t in enumerate(texts)}
+    assert oracle.difference(QUERIES["q_read_tagged_text"](spark, SF), SQL["q_read_tagged_text"], oracle.connect(SF)) is None
