@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, decontaminate, jaccard, language, pii, quality, shard_tree, source_schedule, substring, toxicity
+from statloom.llm import chat, decontaminate, jaccard, language, license, pii, quality, shard_tree, source_schedule, substring, toxicity
 from statloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,8 @@ SELECT v AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r) AS compo
 """)
 def op10_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.grouped(table(spark, sf, "documents"))
+
+
+@query()
+def op13_license_diagonals(spark: SparkSession, sf: str) -> DataFrame:
+    return license.summary(license.scan(table(spark, sf, "documents").select("doc_id", "text")))
