@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, decontaminate, jaccard, language, license, pii, quality, shard_tree, source_schedule, substring, toxicity
+from statloom.llm import chat, decontaminate, jaccard, language, license, merkle, pii, quality, shard_tree, source_schedule, substring, toxicity
 from statloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,48 @@ def op10_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.grouped(table(spark, sf, "documents"))
 
 
+PART = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, sha256({" || ".join(PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    sha256({" || ".join(PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))}) AS other FROM documents),
+bits(i, c) AS (SELECT range, range FROM range(256)),
+crc0 AS (SELECT 0 AS k, i, c FROM bits UNION ALL SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc0 WHERE k < 8),
+codes AS (SELECT list(c ORDER BY i) AS t FROM crc0 WHERE k = 8),
+crc AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+        lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]))) AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), codes),
+l AS (SELECT d.doc_id, lang, leaf, CASE WHEN crc % 3 = 0 THEN other ELSE leaf END AS claimed,
+             row_number() OVER (PARTITION BY lang ORDER BY d.doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d LEFT JOIN crc USING (doc_id)),
+t AS (SELECT 0 AS lev, lang, pos, leaf AS h, n FROM l
+      UNION ALL SELECT lev + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY lev, lang, pos // 8, n),
+sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 100 AS lev, pos, h, n FROM sub
+      UNION ALL SELECT lev + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM u WHERE n > 1 GROUP BY lev, pos // 8, n),
+every AS (SELECT lev, coalesce('=' || lang, '') AS lang, pos, h, n FROM t UNION ALL SELECT lev, 'above', pos, h, n FROM u),
+sides AS (SELECT lev, lang, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts,
+                 coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights FROM every WHERE n > 1
+          WINDOW w AS (PARTITION BY lev, lang, pos // 8 ORDER BY pos)),
+r AS (SELECT row_number() OVER () AS row, l.*, coalesce('=' || lang, '') AS name FROM l),
+f AS (SELECT row, 0 AS lev, name, pos, claimed AS h, '' AS proof, false AS done FROM r
+      UNION ALL
+      SELECT f.row, CASE WHEN f.done OR s.pos IS NOT NULL THEN f.lev + 1 ELSE 100 END, CASE WHEN s.pos IS NOT NULL THEN f.name ELSE 'above' END,
+             CASE WHEN s.pos IS NOT NULL THEN f.pos // 8 ELSE sub.pos END, CASE WHEN s.pos IS NOT NULL THEN sha256(s.lefts || f.h || s.rights) ELSE f.h END,
+             f.proof || coalesce(s.lefts || s.rights, ''), s.pos IS NULL AND f.lev >= 100
+      FROM f LEFT JOIN sides s ON s.lev = f.lev AND s.lang = f.name AND s.pos = f.pos LEFT JOIN sub ON coalesce('=' || sub.lang, '') = f.name WHERE NOT f.done)
+SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+FROM r JOIN f ON f.row = r.row AND f.done JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang, (SELECT h FROM u WHERE n = 1) AS root
+""")
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    pair = docs.select(*columns).withColumn("leaf", merkle.digest(*columns))
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    low = pair.withColumn("text", F.when(tampered, F.translate("text", license.UPPER, license.LOWER))).withColumn("claimed", F.when(tampered, merkle.digest(*columns)))
+    made = merkle.manifest(low, "doc_id", "lang", F.col("leaf"), F.col("claimed"))
+    return merkle.proofs(made).withColumnRenamed("key", "doc_id")
+
+
 @query()
 def op13_license_diagonals(spark: SparkSession, sf: str) -> DataFrame:
     return license.summary(license.scan(table(spark, sf, "documents").select("doc_id", "text")))
