@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, decontaminate, jaccard, language, license, merkle, pii, quality, shard_tree, source_schedule, substring, toxicity
+from statloom.llm import chat, decontaminate, jaccard, language, license, merkle, pii, quality, shard_tree, source_schedule, substring, toxicity, whiten
 from statloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,6 +202,12 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.proofs(made).withColumnRenamed("key", "doc_id")
 
 
+@query()
+def op12_multiplicity_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    done = whiten.whiten(table(spark, sf, "embeddings"), "vec_id", "embedding", 32)
+    return whiten.long_form(*done).withColumnRenamed("key", "vec_id")
+
+
 @query()
 def op13_license_diagonals(spark: SparkSession, sf: str) -> DataFrame:
     return license.summary(license.scan(table(spark, sf, "documents").select("doc_id", "text")))
