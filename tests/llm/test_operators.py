@@ -225,9 +225,9 @@ def test_substring(docs, rows, empty, monkeypatch):
         w = words(t)
         gone = {i + k for i in range(len(w) - 12) if d is not None and first[tuple(w[i : i + 13])] < d for k in range(13)}
         want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    for bound in (4_000_000, 0):
-        monkeypatch.setattr(substring, "BROADCAST_VALUES", bound)
-        assert sorted(map(repr, map(tuple, substring.cleaned(docs).collect()))) == sorted(map(repr, want))
+    for bound, chunk in ((1 << 26, 1 << 22), (0, 1 << 22), (0, 3000), (0, 1)):
+        monkeypatch.setattr(substring, "BROADCAST_BYTES", bound)
+        assert sorted(map(repr, map(tuple, substring.cleaned(docs, chunk=chunk).collect()))) == sorted(map(repr, want))
     assert substring.cleaned(empty).count() == 0
 
 
