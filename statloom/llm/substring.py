@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.tables import arrow, written
@@ -196,17 +196,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, chunk: int
     kind, docs = docs.schema["doc_id"].dataType.simpleString(), keyed(docs)
     texts = written(docs.groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
 
-    votes = arrow(docs.select("digest", "text"), name_texts(window, seed, chunk), "key long, digest long, seed long").repartition("key")
-    several = votes.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("seed").alias("real"))
-    several = several.filter("low < high OR real IS NOT NULL").select("key")
-    kept = votes.join(several, "key").groupBy("digest").agg(F.collect_set(F.coalesce("seed", "key")).alias("seeds"))
+    votes = arrow(docs.select("digest", "text"), name_texts(window, seed, chunk), "key long, digest long, seed long")
+    among = Window.partitionBy("key")
+    votes = votes.withColumns({"low": F.min("digest").over(among), "high": F.max("digest").over(among)})
+    kept = votes.filter("low < high OR seed IS NOT NULL").groupBy("digest").agg(F.collect_set(F.coalesce("seed", "key")).alias("seeds"))
     kept = written(kept.join(texts.select("digest", "check", "first"), "digest"))
 
     own = docs.select("digest", "check", F.col("doc_id").alias("first"), "text").join(kept, ["digest", "check", "first"])
     windows = arrow(own.select("digest", "first", "text", "seeds"), name_windows(window, seed, chunk), f"key long, first {kind}, digest long, start int, stop int, more array<int>, late boolean")
-    windows = windows.repartition("key")
-    least = windows.groupBy("key").agg(F.min("first").alias("least"))
-    late = windows.join(least, "key").filter(F.col("late") | (F.col("first") > F.col("least")))
+    late = windows.withColumn("least", F.min("first").over(among)).filter("late OR first > least")
     span = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"))
     every = F.concat(F.array(span(F.col("start"), F.col("stop"))), F.transform("more", lambda p: span(p, p + window)))
     late = late.groupBy("first", "digest").agg(F.flatten(F.collect_list(every)).alias("spans"))
