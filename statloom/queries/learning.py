@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import sentences, word_count
-from statloom.learning import clusters, metrics, models
+from statloom.learning import boosting, clusters, metrics, models
 from statloom.operators import sampling, series
 from statloom.operators.describe import stack
 from statloom.queries.charts import persistence
 from statloom.queries.registry import query, table
+from statloom.runtime import fixed
 
 RULED = """
 t AS (SELECT l.quality AS actual, CAST(length(d.text) >= 500 AS INTEGER) AS predicted FROM labels l JOIN documents d USING (doc_id))
@@ -254,6 +255,63 @@ def q_gbt_regressor(spark, sf):
     return scored_regressor(spark, sf, "boosted_trees")
 
 
+TREE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def tree_sql(features: list[str], label: str) -> str:
+    """One tree of depth 2 from all values of the features: starting score 0, squared loss, lambda 1."""
+    value = lambda g, h: f"{g} * {g} / ({h} + 1)"
+    long = " UNION ALL ".join(f"SELECT id, g, {i} AS f, '{c}' AS feature, {c}::DOUBLE AS x FROM r" for i, c in enumerate(features))
+
+    def level(k: int, nodes: str) -> str:
+        return f"""
+b{k} AS (SELECT node, f, feature, x, sum(g) AS g, count(*)::DOUBLE AS h FROM v JOIN {nodes} USING (id) GROUP BY ALL),
+c{k} AS (SELECT *, sum(g) OVER (w ORDER BY x) AS gl, sum(h) OVER (w ORDER BY x) AS hl, sum(g) OVER w AS gt, sum(h) OVER w AS ht FROM b{k} WINDOW w AS (PARTITION BY node, f)),
+s{k} AS (SELECT node, f, feature, x AS threshold, {value("gl", "hl")} + {value("(gt - gl)", "(ht - hl)")} - {value("gt", "ht")} AS gain FROM c{k} WHERE hl >= 1 AND ht - hl >= 1),
+t{k} AS (SELECT * FROM s{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, threshold) = 1),
+n{k} AS (SELECT id, 2 * node + (x > threshold)::INTEGER AS node FROM {nodes} JOIN t{k} USING (node) JOIN v USING (id, f))"""
+
+    return f"""
+WITH r AS (SELECT row_number() OVER () AS id, -{label} AS g, {", ".join(features)} FROM lineitem),
+v AS ({long}), n0 AS (SELECT id, 1 AS node FROM r),{level(1, "n0")},{level(2, "n1")},
+every AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2),
+t AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2)
+SELECT node, any_value(feature) AS feature, any_value(threshold) AS threshold, any_value(gain) AS gain, -sum(g) / (count(*) + 1) AS weight, count(*) AS n
+FROM every JOIN r USING (id) LEFT JOIN t USING (node) GROUP BY node
+"""
+
+
+@query(tree_sql(TREE_FEATURES, "l_extendedprice"))
+def q_boosted_tree(spark, sf):
+    """One second-order tree of depth 2 over all of ``lineitem``, exact over every value of its features."""
+    settings = boosting.Settings(trees=1, depth=2, rate=1.0, base=0.0)
+    model = boosting.fit(table(spark, sf, "lineitem"), TREE_FEATURES, "l_extendedprice", settings)
+    return spark.createDataFrame(model.table(), boosting.TREE_TABLE).drop("tree")
+
+
+HOUR_ROWS = "h AS (SELECT count(*) - 24 AS n FROM (SELECT date_trunc('hour', ts) FROM events GROUP BY 1))"
+
+
+@query(f"""
+WITH {HOUR_ROWS}
+SELECT model, n - floor(0.8 * n)::BIGINT AS test_rows, 24 AS trees, true AS above_mean, true AS as_good FROM h, (VALUES ('second_order')) m(model)
+""")
+def q_boosted_scores(spark, sf):
+    """Second-order trees on the hourly series: whether they beat the mean on the training hours, and come within 2 % of (or beat) the
+    first-order trees' test error at the same number, depth and rate."""
+    rows = fixed(hourly_rows(spark, sf).withColumns({c: F.col(c).cast("double") for c in LAGGED}))
+    train, test = (rows.where(F.col("split") == part) for part in ("train", "test"))
+    trees, depth, rate = 24, 3, 0.1
+    model = boosting.fit(train, LAGGED, "value", boosting.Settings(trees=trees, depth=depth, rate=rate, max_bins=32))
+    first = GBTRegressor(labelCol="value", maxIter=trees, maxDepth=depth, stepSize=rate, seed=models.SEED)
+    vectors = VectorAssembler(inputCols=LAGGED, outputCol="features")
+    other = first.fit(vectors.transform(train)).transform(vectors.transform(test))
+    error = lambda df: df.agg(F.sqrt(F.avg((F.col("value") - F.col("prediction")) ** 2)), F.stddev_pop("value"), F.count(F.lit(1))).first()
+    fitted, held_out, theirs = error(model.predict(train)), error(model.predict(test)), error(other)
+    found = [("second_order", int(held_out[2]), trees, bool(fitted[0] < fitted[1]), bool(held_out[0] <= 1.02 * theirs[0]))]
+    return spark.createDataFrame(found, "model string, test_rows long, trees int, above_mean boolean, as_good boolean")
+
+
 @query()
 def q_predictions(spark, sf):
     train, test = prepared_hours(spark, sf)
