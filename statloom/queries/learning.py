@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import sentences, word_count
-from statloom.learning import boosting, clusters, metrics, models
+from statloom.learning import boosting, clusters, metrics, models, ward
 from statloom.operators import sampling, series
 from statloom.operators.describe import stack
 from statloom.queries.charts import persistence
@@ -33,9 +33,6 @@ fit AS (SELECT event_type, n, my - m1 * (c1 * v2 - c2 * c12) / (v1 * v2 - c12 *
         FROM s JOIN e USING (event_type))
 """
 DIMS = [f"x{i + 1}" for i in range(64)]
-
-MIXTURE_DIMS = DIMS[:6]
-"""A full-covariance mixture of all 64 degenerates: every membership becomes one half."""
 NUMBERS = ["n_chars", "word_count", "sentences"]
 LABELS = ["lang", "source"]
 LAGGED = ["hour", "dayofweek", "is_weekend", "lag_1", "lag_24", "rolling_mean_24"]
@@ -155,35 +152,23 @@ def q_regression_metrics(spark, sf):
     return metrics.regression_metrics(persistence(spark, sf), "actual", "predicted", ["event_type"])
 
 
-@query("""
-SELECT label, avg(embedding[1]::DOUBLE) AS x1, avg(embedding[2]::DOUBLE) AS x2, count(*) AS n,
+PROFILE = f"""
+SELECT label, {", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS {c}" for i, c in enumerate(DIMS))}, count(*) AS n,
        avg(CAST(embedding[3] > 0 AS INTEGER)) * 100 AS share_percent FROM embeddings GROUP BY label
-""")
-def q_cluster_profile(spark, sf):
-    return clusters.profile(points(spark, sf), "label", ["x1", "x2"], F.col("x3") > 0)
+"""
 
 
-@query("""
-WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-c AS (SELECT label AS other, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS ss FROM p GROUP BY label),
-d AS (SELECT vec_id, label, other, n, greatest((n * (x * x + y * y) - 2 * (x * sx + y * sy) + ss) / CASE WHEN other = label THEN greatest(n - 1, 1) ELSE n END, 0) AS dist FROM p, c),
-ab AS (SELECT vec_id, label, max(dist) FILTER (other = label) AS a, min(dist) FILTER (other <> label) AS b,
-              max(n) FILTER (other = label) AS n FROM d GROUP BY vec_id, label)
-SELECT vec_id, label, CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS silhouette FROM ab
-""")
-def q_silhouette(spark, sf):
-    return clusters.point_silhouettes(points(spark, sf), "vec_id", ["x1", "x2"], "label")
+@query(PROFILE)
+def q_cluster_profile(spark, sf):
+    return clusters.profile(points(spark, sf), "label", DIMS, F.col("x3") > 0)
 
 
-@query(f"""
-SELECT label, {", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS {c}" for i, c in enumerate(DIMS))}, count(*) AS n,
-       avg(CAST(embedding[3] > 0 AS INTEGER)) * 100 AS share_percent FROM embeddings GROUP BY label
-""")
+@query(PROFILE)
 def q_cluster_profile_all(spark, sf):
-    return clusters.profile(points(spark, sf), "label", DIMS, F.col("x3") > 0)
+    return q_cluster_profile(spark, sf)
 
 
-@query("""
+SILHOUETTE = """
 WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, label, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM p),
 q AS (SELECT vec_id, label, sum(x * x) AS q FROM u GROUP BY ALL),
@@ -195,11 +180,53 @@ d AS (SELECT vec_id, t.label, other, n, greatest((n * q - 2 * xs + ss) / CASE WH
 ab AS (SELECT vec_id, label, max(dist) FILTER (other = label) AS a, min(dist) FILTER (other <> label) AS b,
               max(n) FILTER (other = label) AS n FROM d GROUP BY vec_id, label)
 SELECT vec_id, label, CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS silhouette FROM ab
-""")
-def q_silhouette_all(spark, sf):
+"""
+
+
+@query(SILHOUETTE)
+def q_silhouette(spark, sf):
     return clusters.point_silhouettes(points(spark, sf), "vec_id", DIMS, "label")
 
 
+@query(SILHOUETTE)
+def q_silhouette_all(spark, sf):
+    return q_silhouette(spark, sf)
+
+
+@query("""
+WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) AS far, count(*) AS n FROM p a, p b GROUP BY a.vec_id, a.label, b.label),
+d AS (SELECT vec_id, label, other, n, far / CASE WHEN label = other THEN greatest(n - 1, 1) ELSE n END AS dist FROM s),
+ab AS (SELECT vec_id, label, max(dist) FILTER (other = label) AS a, min(dist) FILTER (other <> label) AS b, max(n) FILTER (other = label) AS n FROM d GROUP BY ALL)
+SELECT vec_id, label, CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS silhouette, 0::DOUBLE AS error FROM ab
+""")
+def q_silhouette_euclidean(spark, sf):
+    """Plain Euclidean silhouettes; exact, since no label has more rows than there are anchors at the scales compared."""
+    return clusters.euclidean_silhouettes(points(spark, sf), "vec_id", DIMS, "label")
+
+
+def ward_sql(bits: int) -> str:
+    side = lambda b: " + ".join(f"{'-' if bin(b & i).count('1') % 2 else ''}(embedding[{i + 1}]::DOUBLE - m{i + 1})" for i in range(len(DIMS)))
+    means = ", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS m{i + 1}" for i in range(len(DIMS)))
+    cell = " + ".join(f"{2 ** (b - 1)} * ({side(b)} > 0)::BIGINT" for b in range(1, bits + 1))
+    sums = ", ".join(f"sum(embedding[{i + 1}]::DOUBLE) AS s{i + 1}" for i in range(len(DIMS)))
+    norm = " + ".join(f"embedding[{i + 1}]::DOUBLE * embedding[{i + 1}]::DOUBLE" for i in range(len(DIMS)))
+    return f"WITH m AS (SELECT {means} FROM embeddings), c AS (SELECT embedding, ({cell})::BIGINT AS cell FROM embeddings, m) SELECT cell, count(*) AS n, sum({norm}) AS ss, {sums} FROM c GROUP BY cell"
+
+
+@query(ward_sql(ward.BITS))
+def q_ward_features(spark, sf):
+    """The micro-clusters that Ward's hierarchy merges."""
+    return ward.micro_clusters(points(spark, sf), DIMS)[1]
+
+
+@query()
+def q_ward(spark, sf):
+    """Profile of two clusters of Ward's hierarchy, over all dimensions."""
+    rows, features = ward.micro_clusters(points(spark, sf), DIMS)
+    return clusters.profile(ward.assign(rows, ward.fit(features, len(DIMS)), 2), "cluster", DIMS)
+
+
 @query("""
 SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept,
        regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY l_returnflag
@@ -383,9 +410,9 @@ def q_kmeans_sweep(spark, sf):
 
 @query()
 def q_gmm(spark, sf):
-    rows = scaled_points(spark, sf, MIXTURE_DIMS)
-    model = clusters.cluster_models(2)["gaussian_mixture"].fit(rows)
-    return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("membership"))
+    rows = scaled_points(spark, sf)
+    done = clusters.mixture_members(rows, clusters.diagonal_mixture(rows, 2))
+    return done.select("vec_id", F.col("prediction").alias("cluster"), "membership")
 
 
 @query()
@@ -397,7 +424,7 @@ def q_bisecting(spark, sf):
 
 @query()
 def q_cluster_comparison(spark, sf):
-    return clusters.compare_clusterings(scaled_points(spark, sf), 2, "embeddings", len(MIXTURE_DIMS))
+    return clusters.compare_clusterings(scaled_points(spark, sf), 2, "embeddings")
 
 
 @query("""

@@ -11,8 +11,9 @@ SF = "/root/testdata/sf0.001"
 
 def test_silhouette_and_profile_read_every_dimension(spark):
     assert set(learning.DIMS) <= set(QUERIES["q_cluster_profile_all"](spark, SF).columns)
-    two, every = (QUERIES[n](spark, SF).agg(F.sum("silhouette")).first()[0] for n in ("q_silhouette", "q_silhouette_all"))
-    assert abs(two - every) > 1e-6
+    two = clusters.point_silhouettes(learning.points(spark, SF), "vec_id", ["x1", "x2"], "label")
+    sums = [df.agg(F.sum("silhouette")).first()[0] for df in (two, *(QUERIES[n](spark, SF) for n in ("q_silhouette", "q_silhouette_all")))]
+    assert abs(sums[0] - sums[1]) > 1e-6 and abs(sums[1] - sums[2]) < 1e-9
 
 
 def test_comparison_clusters_all_dimensions(spark):
