@@ -7,9 +7,9 @@ n-grams; a language's prototype bundles those of its training texts, each text s
 length 1, less the mean of all prototypes. The text takes the language of the largest cosine,
 the first by name on ties; the score is the softmax of the cosines, sharpened by ``SHARP``.
 
-Training takes at most ``TRAINING`` texts of a language, those with the lowest hash of their
-id. Texts that are null or without a letter are ``und`` with score 0. With nothing learned
-every text is ``und``. Repeated rows are predicted alike.
+Training takes at most ``TRAINING`` texts of a language, those with the lowest hash of (id, text), so no language is left out;
+repeated rows train once. Texts that are null or without a letter are ``und`` with score 0. With nothing learned
+every text is ``und``. Repeated rows are predicted alike. Further columns of any name take no part.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.tables import arrow
+from statloom.llm.tables import arrow, hinted, written
 from statloom.llm.words import mix
 
 DIMENSIONS = 1024
@@ -117,15 +117,14 @@ def vectors(texts: list[str | None], space: Space) -> np.ndarray:
 
 def train(labelled: DataFrame, most: int = TRAINING) -> tuple[list[str], np.ndarray]:
     """Names of the languages, sorted, and their prototypes, from rows (doc_id, text, lang)."""
-    few = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").withColumn("h", F.xxhash64("doc_id"))
-    counts = few.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not counts:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").withColumn("h", F.xxhash64("doc_id", "text"))
+    each = written(rows.select("lang", "h").distinct())
+    counts = hinted(written(each.groupBy("lang").agg(F.count("*").alias("of"))))
     # Hashes are even: a bound on them leaves about twice the texts wanted, and only those are ranked.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * most / r["n"]))])
-    few = few.filter(F.shiftrightunsigned("h", 11) / float(1 << 53) <= F.element_at(share, F.col("lang")))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    few = few.withColumn("nth", nth).filter(F.col("nth") <= most).select("lang", "text")
+    low = each.join(counts, "lang").filter(F.shiftrightunsigned("h", 11) / float(1 << 53) * F.col("of") <= 2 * most)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = written(low.withColumn("nth", nth).filter(F.col("nth") <= most).select("lang", "h"))
+    few = rows.join(hinted(drawn), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(), {}
@@ -139,6 +138,8 @@ def train(labelled: DataFrame, most: int = TRAINING) -> tuple[list[str], np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(place, pa.int32()), pa.array(value)], names=["lang", "place", "value"])
 
     found = arrow(few, run, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value")).toPandas()
+    if not len(found):
+        return [], np.zeros((0, DIMENSIONS), np.float32)
     table = found.pivot(index="lang", columns="place", values="value").sort_index()
     return scaled(list(table.index), table.to_numpy(np.float64))
 

@@ -138,9 +138,13 @@ def shingle_sql(name: str, key: str, size: int, lowered: str) -> str:
              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM {name}_w)"""
 
 
-CONTAINED = f"""{shingle_sql("documents", "doc_id", 5, "lower(text)")},{shingle_sql("benchmark", "item_id", 5, "lower(text)")},
+RUNS = """{name}_w AS (SELECT {key}, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM {name}),
+{name}_s AS (SELECT DISTINCT {key}, k, array_to_string(w[i : i + k - 1], ' ') AS shingle FROM (SELECT {key}, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM {name}_w, {sizes}))"""
+
+CONTAINED = f"""{RUNS.format(name="benchmark", key="item_id", sizes="(SELECT unnest(range(1, 6)) AS k) z WHERE k = least(5, len(w))")},
+{RUNS.format(name="documents", key="doc_id", sizes="(SELECT DISTINCT k FROM benchmark_s) z")},
 n AS (SELECT item_id, count(*) AS n_item FROM benchmark_s GROUP BY item_id),
-hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM documents_s JOIN benchmark_s USING (shingle) GROUP BY ALL)"""
+hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM documents_s JOIN benchmark_s USING (k, shingle) GROUP BY ALL)"""
 
 
 @query(f"WITH {CONTAINED} SELECT doc_id, item_id, n_shared, n_item FROM hit JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item")
