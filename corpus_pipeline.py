@@ -3,7 +3,7 @@
 Quality rules drop what they reject; of every group of near copies (five words, 0.8) the
 document with the least id stays; documents that hold a benchmark item go; the mix
 repeats a document as often as it takes its words, rounded to whole documents (none: it
-goes); shards and slots are added last. ``run`` writes every stage to the shared folder
+goes); shards and slots are added last, in place of columns of those names; all others stay. ``run`` writes every stage to the shared folder
 and reads it again.
 """
 
@@ -33,7 +33,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot", "size")])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")])
     (size,) = free_names(docs, "size")
     sized = docs.withColumn(size, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
     placed = shard_tree.assign(sized, "doc_id", shard_tree.tree(16))
