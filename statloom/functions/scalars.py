@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Common named entities; the one for & comes last, so that what it gives is not read again.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-    "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£", "&deg;": "°", "&times;": "×",
-    "&agrave;": "à", "&ccedil;": "ç", "&eacute;": "é", "&egrave;": "è", "&ntilde;": "ñ",
-    "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß", "&amp;": "&",
-}
-
-NUMERIC_ENTITY = "&#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,8});"
-
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -95,21 +85,26 @@ def sentences(col: Column) -> Column:
 
 
 def unescape(col: Column) -> Column:
-    """Replace the common named and all numeric character entities; a number that is no character gives U+FFFD."""
-
-    def decoded(entity: Column) -> Column:
-        body = F.regexp_replace(entity, "[&#;xX]", "")
-        wide = F.when(F.lower(entity).startswith("&#x"), F.conv(body, 16, 10)).otherwise(body).cast("bigint")
-        valid = wide.between(1, 0x10FFFF) & ~wide.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(wide), 8, "0")), "UTF-32")).otherwise("\ufffd")
-
-    pieces, found = F.split(col, NUMERIC_ENTITY, -1), F.regexp_extract_all(col, F.lit(NUMERIC_ENTITY), F.lit(0))
-    pairs = F.arrays_zip(pieces.alias("piece"), found.alias("entity"))
-    joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["piece"], F.when(p["entity"].isNotNull(), decoded(p["entity"])).otherwise(""))), "")
-    col = F.when(col.contains("&#"), joined).otherwise(col)
-    for code, char in ENTITIES.items():
-        col = F.replace(col, F.lit(code), F.lit(char))
-    return col
+    """Replace all HTML5 character references, named or numeric, in one pass: what a reference gives is not decoded again.
+
+    The names are those of Python's own table, so the work is an Arrow-batched function.
+    """
+
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(decode, "string")(col)
+
+
+def half_even(col: Column, digits: int = 0) -> Column:
+    """Round to ``digits`` decimals, halves to the even neighbour."""
+    return F.bround(col, digits)
+
+
+def rounded(df: DataFrame, digits: int = 2, cols: Sequence[str] | None = None) -> DataFrame:
+    """A table for display: fractional columns (or those named) rounded half to even."""
+    fractional = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float", "decimal")]
+    return df.withColumns({c: half_even(F.col(c), digits) for c in (fractional if cols is None else cols)})
 
 
 def squeeze(col: Column) -> Column:

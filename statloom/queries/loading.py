@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.functions.scalars import ENTITIES, first_prefix, flag, recode, to_number, to_time
+from statloom.functions.scalars import first_prefix, flag, half_even, recode, to_number, to_time
 from statloom.operators.frequency import frequency, label_lookup
 from statloom.queries.registry import query, table
 from statloom.runtime import lookup, scratch
-from statloom.sources import readers, sinks
+from statloom.sources import positions, readers, sinks
 
 PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
 
@@ -96,9 +96,9 @@ def q_source_from_path(spark, sf):
 
 
 def unescape_sql(expr: str) -> str:
-    for code, char in ENTITIES.items():
-        quoted = char.replace("'", "''")
-        expr = f"replace({expr}, '{code}', '{quoted}')"
+    """The references that the pages hold, written apart from the operator; the one for & last, so that what it gives is not read again."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("#39", "''"), ("amp", "&")):
+        expr = f"regexp_replace({expr}, '&{name};?', '{char}', 'g')"
     return expr
 
 
@@ -216,3 +216,22 @@ def q_bind_by_key(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), "o_totalprice")
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_acctbal")
     return lookup(orders, customers, ["custkey"], spread=["o_orderkey"])
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS position, c_custkey, c_acctbal, c_mktsegment FROM customer")
+def q_bind_by_position(spark, sf):
+    """Two tables written apart, in different numbers of files and without a common key, side by side by row position."""
+    rows, folder = table(spark, sf, "customer"), scratch(spark)
+    positions.write_parts(rows.select("c_custkey"), f"{folder}/keys", ["c_custkey"], 5)
+    more = rows.repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey").select("c_acctbal", "c_mktsegment")
+    more.write.csv(f"{folder}/values")
+    left = positions.read_numbered(spark, f"{folder}/keys", "c_custkey long")
+    return positions.bind(left, positions.read_numbered(spark, f"{folder}/values", "c_acctbal double, c_mktsegment string"))
+
+
+@query("SELECT l_returnflag, round_even(count(*) / 8, 2) AS eighths, round_even(count(*) / 4 + 0.125, 1) AS quarters, round_even(count(*) / 2, 0) AS halves FROM lineitem GROUP BY ALL")
+def q_rounded(spark, sf):
+    """Counts as eighths, quarters and halves, rounded half to even."""
+    counts = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    parts = {"eighths": (F.col("n") / 8, 2), "quarters": (F.col("n") / 4 + 0.125, 1), "halves": (F.col("n") / 2, 0)}
+    return counts.select("l_returnflag", *[half_even(c, d).alias(name) for name, (c, d) in parts.items()])

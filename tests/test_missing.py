@@ -58,7 +58,7 @@ def test_blanks_of_any_kind(spark):
 
 
 def test_entities(spark):
-    texts = ["&copy; &#233; &#x41;&eacute;", "&amp;lt; &#128512; &#xD800; &#0;", "none", "", None, "&#39;&lt;"]
+    texts = ["&copy; &#233; &#x41;&eacute;", "&amp;lt; &#128512; &#xD800; &#0;", "none", "", None, "&#39;&lt;", "&#38;lt; &#x26;amp;", "&uacute;&Eacute;&#128;&notit; &ampx &CounterClockwiseContourIntegral;"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(unescape(F.col("t"))).collect()]
     assert got == [None if t is None else html.unescape(t) for t in texts]
 
