@@ -82,6 +82,28 @@ def classifiers(trees: int = 120, classes: int = 2, weighted: bool = True) -> di
     }
 
 
+def fit_pipeline(
+    df: DataFrame, target: Column, numeric: Sequence[str], categorical: Sequence[str], name: str = "logistic_regression", split: str = "split", **sizes
+) -> PipelineModel:
+    """Preparation and classifier as one model of raw rows, fitted on the training rows; classifiers on ``mapped`` are not offered."""
+    estimator, source = classifiers(**sizes)[name]
+    if source != "features":
+        raise ValueError(f"{name} reads features that no stored stage makes")
+    labelled = fixed(with_class_weight(df.where(F.col(split) == "train").withColumn("label", target.cast("double")), "label"))
+    return Pipeline(stages=[*preparation(numeric, categorical).getStages(), estimator]).fit(labelled)
+
+
+def store(model: PipelineModel, path: str) -> str:
+    """Save a fitted model, all its stages, in a folder that every executor reaches; an earlier one there is an error."""
+    model.write().save(path)
+    return path
+
+
+def load(path: str) -> PipelineModel:
+    """A stored model, ready for ``transform`` on raw rows."""
+    return PipelineModel.load(path)
+
+
 def fit_classifier(
     name: str, train: DataFrame, test: DataFrame, trees: int = 120, classes: int = 2, weighted: bool = True
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from statloom.operators import sampling, series
 from statloom.operators.describe import stack
 from statloom.queries.charts import persistence
 from statloom.queries.registry import query, table
-from statloom.runtime import fixed
+from statloom.runtime import fixed, scratch
 
 RULED = """
 t AS (SELECT l.quality AS actual, CAST(length(d.text) >= 500 AS INTEGER) AS predicted FROM labels l JOIN documents d USING (doc_id))
@@ -339,6 +339,24 @@ def q_boosted_scores(spark, sf):
     return spark.createDataFrame(found, "model string, test_rows long, trees int, above_mean boolean, as_good boolean")
 
 
+@query("""
+WITH d AS (SELECT l.quality AS actual FROM labels l JOIN documents USING (doc_id))
+SELECT model, actual, count(*) AS n, true AS same FROM d, (VALUES ('logistic_regression'), ('random_forest')) m(model) GROUP BY ALL
+""")
+def q_stored_models(spark, sf):
+    """Models stored in one place and loaded in another: rows by class, and whether every loaded score equals the fresh one."""
+    rows, scored = fixed(labelled_documents(spark, sf)), []
+    for name in ("logistic_regression", "random_forest"):
+        fresh = models.fit_pipeline(rows, F.col("quality"), NUMBERS, LABELS, name, trees=20)
+        loaded = models.load(models.store(fresh, f"{scratch(spark)}-model"))
+        share = vector_to_array("probability")[1]
+        one = fresh.transform(rows).select("doc_id", F.col("quality").alias("actual"), share.alias("fresh"))
+        two = loaded.transform(rows).select("doc_id", share.alias("loaded"))
+        both = one.join(two, "doc_id").groupBy("actual").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("fresh") == F.col("loaded")).alias("same"))
+        scored.append(both.select(F.lit(name).alias("model"), "actual", "n", "same"))
+    return stack(scored)
+
+
 @query()
 def q_predictions(spark, sf):
     train, test = prepared_hours(spark, sf)
