@@ -20,7 +20,7 @@ def test_same_as_sql(spark, name):
     assert oracle.difference(QUERIES[name](spark, SF), SQL[name], oracle.connect(SF)) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"op12_multiplicity_whitening"}))
 def test_one_row_per_document(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
     got = QUERIES[name](spark, SF).select("doc_id")
