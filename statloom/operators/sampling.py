@@ -18,8 +18,8 @@ from statloom.runtime import lookup
 SLICES = 4096
 
 
-def _marked(df: DataFrame, key: str, quota: Callable[[Column], Column], by: str | None, seed: int) -> DataFrame:
-    """Add ``_taken``: whether the row is among the first ``quota(n)`` of its class."""
+def marked(df: DataFrame, key: str, quota: Callable[[Column], Column], by: str | None, seed: int) -> DataFrame:
+    """Add ``_taken``: whether the row is among the first ``quota(n)`` of its class in hash order."""
     cls = F.col(by) if by else F.lit(0)
     hashed = df.withColumns({"_class": cls, "_digest": order_hash(F.col(key), seed)})
     hashed = hashed.withColumn("_slice", hash_bucket(F.col("_digest"))).where(F.col("_class").isNotNull())
@@ -53,7 +53,7 @@ def _marked(df: DataFrame, key: str, quota: Callable[[Column], Column], by: str
 
 
 def _take(df: DataFrame, key: str, quota: Callable[[Column], Column], by: str | None, seed: int) -> DataFrame:
-    return _marked(df, key, quota, by, seed).where("_taken").drop("_taken")
+    return marked(df, key, quota, by, seed).where("_taken").drop("_taken")
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -74,7 +74,7 @@ def stratified_sample(df: DataFrame, key: str, by: str, n: int, seed: int = 42)
 
 def stratified_split(df: DataFrame, key: str, by: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Mark ceil(share n) rows of each class as ``train`` and the others as ``test``."""
-    marked = _marked(df, key, lambda size: F.ceil(size * F.lit(share)), by, seed)
+    marked = marked(df, key, lambda size: F.ceil(size * F.lit(share)), by, seed)
     return marked.withColumn("split", F.when(F.col("_taken"), "train").otherwise("test")).drop("_taken")
 
 
