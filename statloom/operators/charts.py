@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from statloom.functions.scalars import hex_cell
 from statloom.operators.describe import fences
 from statloom.operators.selection import long_form
-from statloom.runtime import settle
+from statloom.runtime import lookup, settle
 
 # Smoothing weights of the ridgeline, and its height.
 KERNEL = (1, 2, 3, 2, 1)
@@ -33,7 +33,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int, by: Sequence[str] =
     )
     width = (F.col("hi") - F.col("lo")) / bins
     counted = (
-        rows.join(limits, keys)
+        lookup(rows, limits, keys)
         .select(*keys, bin_index(F.col("value"), F.col("lo"), width, bins).alias("bin"))
         .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("count"))
@@ -124,8 +124,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Dat
     v = F.col("value")
     inside = (v >= F.col("lower")) & (v <= F.col("upper"))
     seen = (
-        long_form(df, cols, by)
-        .join(limits.select(*keys, "lower", "upper"), keys)
+        lookup(long_form(df, cols, by), limits.select(*keys, "lower", "upper"), keys)
         .groupBy(*keys)
         .agg(
             F.min(v).alias("min"),
@@ -175,3 +174,8 @@ def hexbin(df: DataFrame, x: str, y: str, size: float, x_scale: float = 1.0, y_s
 
 def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.withColumn("residual", F.col(actual) - F.col(predicted))
+
+
+def residual_histogram(df: DataFrame, actual: str, predicted: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
+    """Equal bins of the residuals between the least and the largest of each group; rows without both values are left out."""
+    return histogram(residuals(df, actual, predicted), ["residual"], bins, by)

@@ -169,7 +169,7 @@ def category_codes(df: DataFrame, col: str) -> DataFrame:
 
 def encode(df: DataFrame, col: str) -> DataFrame:
     """Add the category code to each row, -1 for a missing value."""
-    coded = df.join(category_codes(df, col), col, "left")
+    coded = lookup(df, category_codes(df, col), [col], "left")
     return coded.withColumn(f"{col}_code", F.coalesce("code", F.lit(-1))).drop("code")
 
 

@@ -21,7 +21,7 @@ from statloom.operators.selection import (
     value_counts,
     weibull,
 )
-from statloom.runtime import settle
+from statloom.runtime import lookup, settle
 
 QUARTILES = (0.25, 0.5, 0.75)
 NORMAL_MAD_FACTOR = 1.4826
@@ -143,7 +143,7 @@ def shape(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFra
 
 def deviations(df: DataFrame, cols: Sequence[str], by: Sequence[str], centre: DataFrame) -> DataFrame:
     """Absolute deviations from a per-(group, variable) ``centre`` column."""
-    rows = long_form(df, cols, by).join(settle(centre), [*by, "variable"])
+    rows = lookup(long_form(df, cols, by), settle(centre), [*by, "variable"])
     return rows.select(*by, "variable", F.abs(F.col("value") - F.col("centre")).alias("value"))
 
 
@@ -213,7 +213,7 @@ def trimmed_mean(df: DataFrame, cols: Sequence[str], alpha: float, by: Sequence[
     )
     v, lo, hi = F.col("value"), F.col("_lo"), F.col("_hi")
     sums = (
-        rows.join(ends, keys)
+        lookup(rows, ends, keys)
         .groupBy(*keys, "n", "_lo", "_hi", "_cut")
         .agg(
             F.sum(F.when((v > lo) & (v < hi), v).otherwise(0.0)).alias("_inner"),
@@ -316,8 +316,7 @@ def outlier_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -
     limits = settle(fences(df, cols, by).select(*keys, "lower", "upper"))
     out = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     return (
-        long_form(df, cols, by)
-        .join(limits, keys)
+        lookup(long_form(df, cols, by), limits, keys)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(out.cast("bigint")).alias("outliers"))
     )

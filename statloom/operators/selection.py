@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.runtime import settle
+from statloom.runtime import lookup, settle
 
 GRID = 250
 """Even shares at which a sketch is read."""
@@ -108,7 +108,7 @@ def _refined(rows: DataFrame, keys: list[str], spans: DataFrame, ranks: Sequence
             F.count(F.when(inside, 1)).alias(f"_in{i}"),
             grid_column(F.when(inside, v)).alias(f"_grid{i}"),
         ]
-    seen = rows.join(spans, keys).groupBy(*keys, "n", *edges).agg(*aggs)
+    seen = lookup(rows, spans, keys).groupBy(*keys, "n", *edges).agg(*aggs)
     out = []
     for i, r in enumerate(ranks):
         inside = F.nullif(F.col(f"_in{i}"), F.lit(0))
@@ -147,7 +147,7 @@ def value_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _folded(rows: DataFrame, keys: list[str], spans: DataFrame, ranks: int) -> DataFrame:
     """Counts of the values inside any bracket, and of all the rows between two brackets as one."""
     weight = F.col("c") if "c" in rows.columns else F.lit(1)
-    joined = rows.withColumn("_w", weight).join(spans.drop("n"), keys)
+    joined = lookup(rows.withColumn("_w", weight), spans.drop("n"), keys)
     v = F.col("value")
     folded = F.struct(F.lit(float("inf")).alias("at"), F.lit(0).alias("exact"))
     for i in reversed(range(ranks)):

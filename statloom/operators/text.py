@@ -94,14 +94,27 @@ def bigram_frequency(df: DataFrame, text: str) -> DataFrame:
     return split.select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("count"))
 
 
-def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
+def grams(split: Column, n: int) -> Column:
+    """All runs of n neighbouring words, joined by one blank, of an array of words."""
+    starts = F.sequence(F.lit(1), F.size(split) - (n - 1))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(split, i, n), " "))
+    return F.when(F.size(split) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
+def tf_idf(df: DataFrame, key: str, text: str, lengths: Sequence[int] = (1,)) -> DataFrame:
     """Term weight count * ln((N + 1) / (documents + 1)) per document and term.
 
-    The counts per document are written once, as they are needed both for the
-    document frequencies and for the weights and cost a pass over all texts.
+    Terms are runs of as many words as ``lengths`` names: (1, 2) takes words and pairs of neighbours. The counts per
+    document are written once, as they are needed both for the document frequencies and for the weights and cost a pass
+    over all texts.
     """
     n = df.count()
-    per_doc = fixed(tokens(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    if list(lengths) == [1]:
+        terms = tokens(df, key, text)
+    else:
+        split = df.select(key, words(F.lower(text)).alias("_w"))
+        terms = split.select(key, F.explode(F.concat(*[grams(F.col("_w"), i) for i in lengths])).alias("term"))
+    per_doc = fixed(terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     docs = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = lookup(per_doc, docs, ["term"], spread=[key])
     return weighted.select(

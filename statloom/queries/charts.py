@@ -114,6 +114,15 @@ def q_residuals(spark, sf):
     return charts.residuals(persistence(spark, sf), "actual", "predicted")
 
 
+@query(histogram_sql("""
+WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour_start, avg(value) AS value FROM events GROUP BY ALL),
+l AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY hour_start) AS p FROM h)
+SELECT event_type, 'residual' AS variable, value - p AS value FROM l WHERE p IS NOT NULL
+""", "event_type, variable", 30))
+def q_residual_histogram(spark, sf):
+    return charts.residual_histogram(persistence(spark, sf), "actual", "predicted", 30, ["event_type"])
+
+
 def persistence(spark, sf):
     """Hourly means per event type, forecast by the hour before."""
     hours = series.hourly(table(spark, sf, "events"), "ts", ["value"], ["event_type"])

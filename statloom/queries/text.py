@@ -84,6 +84,19 @@ def q_tfidf_top(spark, sf):
     return text.top_terms(text.tf_idf(documents(spark, sf), "doc_id", "text"), "doc_id", 3)
 
 
+@query(f"""
+WITH s AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM s),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT doc_id, term, tf * ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)) AS weight FROM tf JOIN df USING (term))
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term)::INTEGER AS rank FROM w
+QUALIFY rank <= 3
+""")
+def q_tfidf_bigrams(spark, sf):
+    weights = text.tf_idf(documents(spark, sf), "doc_id", "text", (1, 2))
+    return text.top_terms(weights, "doc_id", 3)
+
+
 @query(f"""
 WITH t AS (SELECT doc_id, lang = 'en' AS pos, unnest(list_distinct({WORDS})) AS term FROM documents),
 n AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (lang = 'en'))::DOUBLE AS p FROM documents),

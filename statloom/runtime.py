@@ -78,7 +78,8 @@ def lookup(
 
     A table of proven small size is broadcast and ``big`` is not moved. Otherwise
     the rows of a hot key are spread over ``SALTS`` tasks by a hash of the
-    ``spread`` columns and the table is repeated once per slice.
+    ``spread`` columns and of the partition a row comes from, so that equal rows
+    spread too, and the table is repeated once per slice.
     """
     on = list(on)
     local = local_or_none(table, max_rows)
@@ -86,7 +87,7 @@ def lookup(
         return big.join(F.broadcast(local), on, how)
     slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     key = [*spread] or [c for c in big.columns if c not in on]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*key, F.spark_partition_id()), F.lit(SALTS)).cast("int"))
     return salted.join(table.withColumn("_salt", slices), [*on, "_salt"], how).drop("_salt")
 
 
