@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from statloom.functions.scalars import clip, flag, without_nan
-from statloom.operators.describe import QUARTILES, describe
-from statloom.operators.selection import quantiles
+from statloom.operators.describe import QUARTILES, coefficient_of_variation, describe
+from statloom.operators.selection import Rank, linear, long_form, pick, quantiles, value_counts
 from statloom.operators.series import over_rows
-from statloom.runtime import lookup
+from statloom.runtime import fixed, lookup, settle
 
 UNKNOWN = "unknown"
 
@@ -135,6 +135,74 @@ def states(raw: DataFrame, cleaned: DataFrame, cols: Sequence[str]) -> DataFrame
     return frames[0].unionByName(frames[1])
 
 
+def cleaned_states(df: DataFrame, cols: Sequence[str], k: float = 1.5, positive_only: bool = True) -> DataFrame:
+    """What ``states`` gives for a table and its median-imputed, fence-clipped form, from one pass over the rows.
+
+    The rows are counted by (variable, value) once, gaps among them, and everything else is read from these counts: the
+    gaps move to the median, the fences follow from the filled counts, and since clipping keeps the order of values, the
+    cleaned quartiles are the clipped order statistics of the filled column. Columns without any value are left out.
+    """
+    kept = without_nan(df.select(*cols), cols)
+    doubles = kept.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    counted = fixed(value_counts(doubles.unpivot([], list(cols), "variable", "value"), ["variable"]))
+    present = counted.where(F.col("value").isNotNull())
+
+    def ranked(rows: DataFrame, counts: DataFrame, ranks: Sequence[Rank]) -> dict:
+        sizes = settle(counts.groupBy("variable").agg(F.sum("c").alias("n")))
+        return {r["variable"]: (r["n"], r["q"]) for r in pick(rows, ["variable"], sizes, ranks, counts).collect()}
+
+    raw = ranked(long_form(kept, cols), present, [linear(p) for p in QUARTILES])
+    if not raw:
+        return describe(df, cols).withColumn("state", F.lit("raw"))
+    names = F.create_map(*[F.lit(x) for c, (_, q) in raw.items() for x in (c, float(q[1]))])
+    filled = counted.withColumn("value", F.coalesce("value", names[F.col("variable")])).where("value IS NOT NULL")
+    filled = filled.groupBy("variable", "value").agg(F.sum("c").alias("c"))
+    sides = [Rank(lambda n, p=p, f=f: f(linear(p).place(n)).cast("double")) for p in QUARTILES for f in (F.floor, F.ceil)]
+    after = ranked(long_form(fill(kept, {c: q[1] for c, (_, q) in raw.items()}), list(raw)), filled, sides)
+
+    def between(pairs: Sequence[float], n: int) -> list[float]:
+        parts = [((n - 1) * p) % 1 for p in QUARTILES]
+        return [a + (b - a) * t for a, b, t in zip(pairs[::2], pairs[1::2], parts)]
+
+    facts = []
+    for c, (n, q) in after.items():
+        q1, _, q3 = between(q, n)
+        low, high = float("-inf"), float("inf")
+        if q3 - q1 > 0 or not positive_only:
+            low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+        shift, cut = float(raw[c][1][1]), between([min(max(v, low), high) for v in q], n)
+        facts += [("raw", c, shift, None, None, *map(float, raw[c][1])), ("cleaned", c, shift, low, high, *map(float, cut))]
+    shape = "state string, variable string, _shift double, _low double, _high double, p25 double, p50 double, p75 double"
+    facts = F.broadcast(df.sparkSession.createDataFrame(facts, shape))
+
+    both = counted.join(facts, "variable")
+    value = F.when(F.col("state") == "raw", F.col("value")).otherwise(F.greatest("_low", F.least("_high", F.coalesce("value", "_shift"))))
+    keys = ["state", "variable", "_shift", "p25", "p50", "p75"]
+    merged = both.select(*keys, value.alias("value"), "c").where("value IS NOT NULL").groupBy(*keys, "value").agg(F.sum("c").alias("c"))
+    d = F.col("value") - F.col("_shift")
+    seen = merged.groupBy(*keys).agg(
+        F.sum("c").alias("count"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.sum(F.col("c") * d).alias("_d"),
+        F.sum(F.col("c") * d * d).alias("_d2"),
+        F.min(F.struct((-F.col("c")).alias("c"), "value")).getField("value").alias("mode"),
+    )
+    n, off = F.col("count"), F.col("_d") / F.col("count")
+    spread = F.greatest(F.col("_d2") - F.col("_d") * off, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
+    full = seen.withColumns({"mean": F.col("_shift") + off, "median": F.col("p50"), "variance": spread, "std": F.sqrt(spread)})
+    full = full.withColumns({"range": F.col("max") - F.col("min"), "cv": coefficient_of_variation(F.col("std"), F.col("mean")), "iqr": F.col("p75") - F.col("p25")})
+    measures = ["count", "mean", "median", "mode", "min", "max", "range", "variance", "std", "cv", "p25", "p50", "p75", "iqr"]
+    return full.select("variable", *measures, "state")
+
+
+def compare_cleaned(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+    """What ``compare_states`` gives for a table and its imputed, clipped form, from one pass over the rows."""
+    measures = ["mean", "std", "iqr", "min", "max"]
+    side = [F.max(F.when(F.col("state") == s, F.col(m))).alias(f"{m}_{s}") for m in measures for s in ("raw", "cleaned")]
+    return cleaned_states(df, cols, k).groupBy("variable").agg(*side)
+
+
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Scale to 0..1; a constant column gives null, NaN counts as missing."""
     df = without_nan(df, cols)

@@ -136,9 +136,7 @@ SELECT variable, {", ".join(f"a.{m} AS {m}_raw, b.{m} AS {m}_cleaned" for m in (
 FROM a JOIN b USING (variable)
 """)
 def q_raw_vs_cleaned(spark, sf):
-    rows = raw_lineitem(spark, sf)
-    cleaned = cleaning.iqr_clip(cleaning.impute_median(rows, COLS), COLS)
-    return cleaning.compare_states(rows, cleaned, COLS)
+    return cleaning.compare_cleaned(raw_lineitem(spark, sf), COLS)
 
 
 @query(f"""
@@ -154,9 +152,7 @@ SELECT state, variable, count(*) AS count, avg(value) AS mean, median(value) AS
 FROM both_states JOIN m USING (state, variable) WHERE m.rn = 1 GROUP BY state, variable
 """)
 def q_stack_states(spark, sf):
-    rows = raw_lineitem(spark, sf)
-    cleaned = cleaning.iqr_clip(cleaning.impute_median(rows, COLS), COLS)
-    return cleaning.states(rows, cleaned, COLS)
+    return cleaning.cleaned_states(raw_lineitem(spark, sf), COLS)
 
 
 @query("SELECT event_id, ln(1 + value) AS value_log1p FROM events")

@@ -203,3 +203,27 @@ def test_ridgeline_matches_convolution(data):
         d, _ = np.histogram(part["y"], bins=np.linspace(0, 20, 41), density=True)
         d = np.convolve(d, kernel, mode="same")
         np.testing.assert_allclose(got[got["g"] == g].sort_values("bin")["density"], d / d.max() * 0.85, rtol=1e-9)
+
+
+def test_one_pass_states(data, brackets):
+    """Both states from value counts are those of the table and of its imputed, clipped form."""
+    _, df = data
+    df = df.withColumns({"gone": F.lit(None).cast("double"), "x": F.when(F.col("id") % 50 == 3, float("nan")).otherwise(F.col("x"))})
+    cols = ["x", "y", "flat", "gone"]
+    cleaned = cleaning.iqr_clip(cleaning.impute_median(df, cols), cols)
+    keys = ["state", "variable"]
+    want = cleaning.states(df, cleaned, cols).toPandas().sort_values(keys, ignore_index=True)
+    got = cleaning.cleaned_states(df, cols).toPandas().sort_values(keys, ignore_index=True)
+    assert len(want) == 6
+    pd.testing.assert_frame_equal(got, want, check_exact=False, rtol=1e-9)
+    want = cleaning.compare_states(df, cleaned, cols).toPandas().sort_values("variable", ignore_index=True)
+    got = cleaning.compare_cleaned(df, cols).toPandas().sort_values("variable", ignore_index=True)
+    pd.testing.assert_frame_equal(got, want, check_exact=False, rtol=1e-9)
+
+
+def test_one_pass_states_of_nothing(data):
+    _, df = data
+    for few in (df.limit(0), df.withColumn("x", F.lit(None).cast("double"))):
+        assert cleaning.cleaned_states(few, ["x"]).count() == 0 and cleaning.compare_cleaned(few, ["x"]).count() == 0
+    one = cleaning.cleaned_states(df.where("g = 'single'"), ["x"]).collect()
+    assert {r["state"] for r in one} == {"raw", "cleaned"} and all(r["std"] is None and r["mean"] == 1.5 for r in one)
