@@ -140,6 +140,7 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int = 5, cell_r
         return pd.Series(cells.touched(np.vstack(x.to_numpy()), far.to_numpy()) if len(x) else [])
 
     points = fixed(points.withColumn("cell", home_cell("x")))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shape = f"home {kind}, far double, near {kind}, near_x array<double>"
 
     def meet(visitors: DataFrame) -> DataFrame:
@@ -147,7 +148,9 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int = 5, cell_r
         slices = 1 + most // VISITORS
         held = points.select("cell", "keys", "x", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
         cut = visitors.withColumn("slice", F.pmod(F.xxhash64("home"), F.lit(slices)).cast("int"))
-        return cut.groupBy("cell", "slice").cogroup(held.groupBy("cell", "slice")).applyInPandas(_compare(k + 1), shape)
+        # Few bytes, much work: a stated number of partitions is not coalesced.
+        sides = [side.repartition(tasks, "cell", "slice").groupBy("cell", "slice") for side in (cut, held)]
+        return sides[0].cogroup(sides[1]).applyInPandas(_compare(k + 1), shape)
 
     found = fixed(meet(points.select("cell", "home", "x")))
     if depth:
