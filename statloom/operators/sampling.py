@@ -74,8 +74,8 @@ def stratified_sample(df: DataFrame, key: str, by: str, n: int, seed: int = 42)
 
 def stratified_split(df: DataFrame, key: str, by: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Mark ceil(share n) rows of each class as ``train`` and the others as ``test``."""
-    marked = marked(df, key, lambda size: F.ceil(size * F.lit(share)), by, seed)
-    return marked.withColumn("split", F.when(F.col("_taken"), "train").otherwise("test")).drop("_taken")
+    rows = marked(df, key, lambda size: F.ceil(size * F.lit(share)), by, seed)
+    return rows.withColumn("split", F.when(F.col("_taken"), "train").otherwise("test")).drop("_taken")
 
 
 def head_per_group(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
