@@ -6,7 +6,7 @@ Two rules hold throughout the library:
   fixed once, so that a lost executor cannot make a retried task see another
   version of it.
 * A table is broadcast only after its row count has been seen to be small;
-  beyond that bound the join is a shuffle join with a salted key.
+  beyond that bound the join is a shuffle join with salted hot keys.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 50_000
 """Most rows a table may have to be held on the driver and broadcast."""
 
-SALTS = 32
-"""Copies of the smaller side, and slices of the larger, in a salted join."""
+HOT_ROWS = 10_000
+"""Rows of one key beyond which a shuffle join deals them to several tasks."""
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -77,18 +79,34 @@ def lookup(
     """Join ``big`` to a per-key ``table``.
 
     A table of proven small size is broadcast and ``big`` is not moved. Otherwise
-    the rows of a hot key are spread over ``SALTS`` tasks by a hash of the
-    ``spread`` columns and of the partition a row comes from, so that equal rows
-    spread too, and the table is repeated once per slice.
+    both sides are shuffled. Keys with more than ``HOT_ROWS`` rows, at most the
+    ``SMALL_ROWS`` most frequent ones, are counted first: their rows are dealt to
+    one slice for each ``HOT_ROWS`` by a hash of the ``spread`` columns and of the
+    partition a row comes from, so that equal rows spread too. Only the table's
+    rows of such a key are repeated, once per slice.
     """
     on = list(on)
     local = local_or_none(table, max_rows)
     if local is not None:
         return big.join(F.broadcast(local), on, how)
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    hot = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_slices")).where(F.col("_slices") > HOT_ROWS)
+    hot = hot.orderBy(F.desc("_slices")).limit(SMALL_ROWS).select(
+        *[F.col(c).alias(f"_hot_{c}") for c in on], F.ceil(F.col("_slices") / HOT_ROWS).alias("_slices")
+    )
+    found = hot.toArrow()
+    # Copies outgrow Spark's estimate of the table's size: the hint keeps them from being broadcast.
+    if not found.num_rows:
+        return big.join(table.hint("merge"), on, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(found, schema=hot.schema))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on])
     key = [*spread] or [c for c in big.columns if c not in on]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*key, F.spark_partition_id()), F.lit(SALTS)).cast("int"))
-    return salted.join(table.withColumn("_salt", slices), [*on, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*key, F.spark_partition_id()), F.coalesce("_slices", F.lit(1)))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_slices", F.lit(1)) - 1))
+    salted, sliced = (
+        side.join(hot, same, "left").withColumn("_salt", number).drop("_slices", *[f"_hot_{c}" for c in on])
+        for side, number in ((big, salt), (table, copies))
+    )
+    return salted.join(sliced.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def scalars(df: DataFrame) -> dict:

@@ -45,3 +45,17 @@ def test_equal_rows_of_a_hot_key_spread(spark, monkeypatch):
     joined = runtime.lookup(big, spark.createDataFrame([(1, "a")], "k int, name string"), ["k"])
     salted = [c for c in joined.columns]
     assert salted == ["k", "v", "name"] and joined.count() == 4000
+
+
+def test_only_hot_keys_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "local_or_none", lambda df, max_rows=0: None)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 100)
+    big = spark.range(2000, numPartitions=16).selectExpr("id", "CASE WHEN id % 4 = 0 THEN 1 WHEN id % 4 = 1 THEN NULL ELSE id END AS k")
+    table = spark.range(3000).selectExpr("id AS k", "id * 2 AS twice")
+    plan = runtime.lookup(big, table, ["k"], "left")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "strategy=merge" in plan  # never a broadcast of repeated rows
+    for how in ("left", "inner"):
+        want = sorted(map(str, big.join(table, ["k"], how).collect()))
+        assert sorted(map(str, runtime.lookup(big, table, ["k"], how).collect())) == want
+    few = runtime.lookup(big.where("id > 1900"), table, ["k"], "left")
+    assert "Generate" not in few._jdf.queryExecution().toString() and few.count() == 99
