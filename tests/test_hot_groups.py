@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from statloom import runtime
-from statloom.operators import charts, cleaning, describe
+from statloom.operators import charts, cleaning, describe, frequency
 
 CASES = {
     "describe": lambda df: describe.describe(df, ["x", "y"], ["g"]),
@@ -59,3 +59,13 @@ def test_only_hot_keys_are_repeated(spark, monkeypatch):
         assert sorted(map(str, runtime.lookup(big, table, ["k"], how).collect())) == want
     few = runtime.lookup(big.where("id > 1900"), table, ["k"], "left")
     assert "Generate" not in few._jdf.queryExecution().toString() and few.count() == 99
+
+
+def test_labels_of_many_rows_are_not_repeated(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "local_or_none", lambda df, max_rows=0: None)
+    facts = spark.range(500).selectExpr("id % 400 AS k", "id")
+    labels = spark.range(300).unionByName(spark.range(20)).selectExpr("id AS k", "id % 2 AS good")
+    joined = frequency.label_lookup(facts, labels, "k")
+    plan = joined._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "BroadcastHashJoin" not in plan
+    assert sorted(map(str, joined.collect())) == sorted(map(str, facts.join(labels, ["k"], "left").collect()))
