@@ -4,7 +4,8 @@
 2. A balanced tree of median cuts is fitted on a bounded hash sample of the points. It cuts space into cells of about
    ``CELL_ROWS`` points, at most ``MOST_CELLS``; which points were drawn changes the cost, never the result.
 3. Each point is compared with its own cell. The distance of its farthest neighbour there is a radius, and the point visits
-   just the other cells that its ball touches. Spark moves points to cells; numpy compares within one.
+   just the other cells that its ball touches, found down the tree. Spark moves points to cells; numpy compares within one, by
+   leaves of ``LEAF_ROWS`` points of which each ball meets few: a cell's work grows little faster than its points.
 4. The nearest of all visited cells are ranked by distance, then key.
 
 A cell that many balls touch is met by slices of them. In many dimensions balls touch more cells: the result stays exact, the
@@ -30,6 +31,9 @@ MOST_CELLS = 4_096
 SAMPLE_PER_CELL = 40
 """Points drawn for each cell to find the cuts: at most 163,840 in all."""
 
+LEAF_ROWS = 64
+"""Points of a leaf, within a task, that are compared at once."""
+
 VISITORS = 20_000
 """Points that meet a cell at once."""
 
@@ -56,6 +60,7 @@ class Cells:
             high[2 * node + 1, axis] = min(high[node, axis], cut)
             low[2 * node + 2, axis] = max(low[node, axis], cut)
         self.low, self.high = low[inner:], high[inner:]
+        self._low, self._high = low, high
 
     def home(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), int)
@@ -63,35 +68,88 @@ class Cells:
             node = 2 * node + 1 + (x[np.arange(len(x)), self.axis[node]] > self.cut[node])
         return node - len(self.cut)
 
+    def reached(self, x: np.ndarray, squared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a point and a cell within its squared radius, found down the tree, in blocks of points."""
+        points, cells, step = [], [], max(1, BLOCK // len(self.low))
+        for at in range(0, len(x), step):
+            row = np.arange(at, min(at + step, len(x)))
+            node = np.zeros(len(row), int)
+            for _ in range(self.depth):
+                row, node = np.repeat(row, 2), np.column_stack([2 * node + 1, 2 * node + 2]).ravel()
+                far = 0.0
+                for d in range(x.shape[1]):
+                    v = x[row, d]
+                    gap = np.maximum(np.maximum(self._low[node, d] - v, v - self._high[node, d]), 0.0)
+                    far = far + gap * gap
+                near = far <= squared[row]
+                row, node = row[near], node[near]
+            points.append(row)
+            cells.append(node - len(self.cut))
+        return np.concatenate(points or [np.zeros(0, int)]), np.concatenate(cells or [np.zeros(0, int)])
+
     def touched(self, x: np.ndarray, squared: np.ndarray) -> list[np.ndarray]:
         """The cells, other than its own, within each point's squared radius."""
-        out, own, step = [], self.home(x), max(1, BLOCK // len(self.low))
-        for at in range(0, len(x), step):
-            part, far = x[at : at + step], 0.0
-            for d in range(x.shape[1]):
-                v = part[:, d, None]
-                gap = np.maximum(np.maximum(self.low[:, d] - v, v - self.high[:, d]), 0.0)
-                far = far + gap * gap
-            near = far <= squared[at : at + step, None]
-            near[np.arange(len(part)), own[at : at + step]] = False
-            out += [np.flatnonzero(row) for row in near]
-        return out
-
-
-def closest(queries: np.ndarray, points: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first query, squared distances, places) of the k nearest points by blocks of queries; among equals the first point."""
+        row, cell = self.reached(x, squared)
+        other = cell != self.home(x)[row]
+        row, cell = row[other], cell[other]
+        return np.split(cell, np.searchsorted(row, np.arange(1, len(x)))) if len(x) else []
+
+
+def distances(queries: np.ndarray, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, squared distances to all points) by blocks of queries."""
     step = max(1, BLOCK // max(len(points), 1))
     for at in range(0, len(queries), step):
         part, far = queries[at : at + step], 0.0
         for d in range(queries.shape[1]):
             gap = part[:, d, None] - points[:, d]
             far = far + gap * gap
-        order = np.argsort(far, axis=1, kind="stable")[:, :k]
-        yield at, np.take_along_axis(far, order, axis=1), order
+        yield at, far
+
+
+def closest(queries: np.ndarray, points: np.ndarray, k: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, squared distance, place) of the k nearest points of each query, among equals the first point.
+
+    The points are cut again into leaves of about ``LEAF_ROWS``. A query's own leaf gives a radius, unless ``within`` states one,
+    and only the leaves in its reach are compared; points beyond a stated radius are left out.
+    """
+    if not (np.isfinite(queries).all() and np.isfinite(points).all()):
+        found = [(at + np.repeat(np.arange(len(far)), min(k, len(points))), far, np.argsort(far, axis=1, kind="stable")[:, :k]) for at, far in distances(queries, points)]
+        return tuple(np.concatenate(c) for c in zip(*[(q, np.take_along_axis(far, o, axis=1).ravel(), o.ravel()) for q, far, o in found]))
+    leaves = Cells(points, max(0, int(np.ceil(np.log2(len(points) / LEAF_ROWS)))))
+    leaf = leaves.home(points)
+    order = np.argsort(leaf, kind="stable")
+    bounds = np.searchsorted(leaf[order], np.arange(len(leaves.low) + 1))
+    held = [order[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
+
+    def groups(cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in ``cell``, points) of each leaf that is named there."""
+        along = np.argsort(cell, kind="stable")
+        cuts = np.searchsorted(cell[along], np.arange(len(held) + 1))
+        return ((along[lo:hi], mine) for mine, lo, hi in zip(held, cuts[:-1], cuts[1:]) if hi > lo)
+
+    radius = np.full(len(queries), np.inf) if within is None else within
+    if within is None:
+        for mine, near in groups(leaves.home(queries)):
+            if len(near) >= k:
+                for at, far in distances(queries[mine], points[near]):
+                    radius[mine[at : at + len(far)]] = np.partition(far, k - 1, axis=1)[:, k - 1]
+    row, cell = leaves.reached(queries, radius)
+    parts = [(np.zeros(0, int), np.zeros(0), np.zeros(0, int))]
+    for pairs, near in groups(cell):
+        mine = row[pairs]
+        for at, far in distances(queries[mine], points[near]):
+            q = mine[at : at + len(far)]
+            i, j = np.nonzero(far <= radius[q, None])
+            parts.append((q[i], far[i, j], near[j]))
+    query, far, place = (np.concatenate(c) for c in zip(*parts))
+    ranked = np.lexsort((place, far, query))
+    query, far, place = query[ranked], far[ranked], place[ranked]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[best], far[best], place[best]
 
 
 def _compare(k: int):
-    """Visitors of a cell (home, x) against its points (keys, x): (home, far, near), one row for each neighbour."""
+    """Visitors of a cell (home, x, within) against its points (keys, x): (home, far, near), one row for each neighbour."""
 
     def run(visitors: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"home": visitors["home"][:0], "far": np.zeros(0), "near": visitors["home"][:0], "near_x": visitors["x"][:0]})
@@ -99,12 +157,9 @@ def _compare(k: int):
             return empty
         rows = held.explode("keys").sort_values("keys", kind="stable")
         points, keys, xs = np.vstack(rows["x"].to_numpy()), rows["keys"].to_numpy(), rows["x"].to_numpy()
-        homes, parts = visitors["home"].to_numpy(), []
-        for at, far, order in closest(np.vstack(visitors["x"].to_numpy()), points, k):
-            wide, flat = order.shape[1], order.ravel()
-            home = np.repeat(homes[at : at + len(order)], wide)
-            parts.append(pd.DataFrame({"home": home, "far": far.ravel(), "near": keys[flat], "near_x": xs[flat]}))
-        return pd.concat(parts, ignore_index=True)
+        within = None if visitors["within"].isna().all() else visitors["within"].to_numpy(float)
+        query, far, place = closest(np.vstack(visitors["x"].to_numpy()), points, k, within)
+        return pd.DataFrame({"home": visitors["home"].to_numpy()[query], "far": far, "near": keys[place], "near_x": xs[place]})
 
     return run
 
@@ -152,11 +207,11 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int = 5, cell_r
         sides = [side.repartition(tasks, "cell", "slice").groupBy("cell", "slice") for side in (cut, held)]
         return sides[0].cogroup(sides[1]).applyInPandas(_compare(k + 1), shape)
 
-    found = fixed(meet(points.select("cell", "home", "x")))
+    found = fixed(meet(points.select("cell", "home", "x", F.lit(None).cast("double").alias("within"))))
     if depth:
         radius = F.when(F.count(F.lit(1)) > k, F.max("far")).otherwise(F.lit(float("inf")))
         reach = points.select("home", "x").join(found.groupBy("home").agg(radius.alias("far")), "home")
-        visits = fixed(reach.select("home", "x", F.explode(other_cells("x", "far")).alias("cell")))
+        visits = fixed(reach.select("home", "x", F.col("far").alias("within"), F.explode(other_cells("x", "far")).alias("cell")))
         found = found.unionByName(meet(visits))
     rank = F.row_number().over(Window.partitionBy("home").orderBy("far", "near"))
     best = found.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)

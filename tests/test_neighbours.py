@@ -82,3 +82,31 @@ def test_edges(spark):
     assert neighbours.synthetic_minority(one, "id", ["a", "b"], F.col("id") == "x", need=3).count() == 0
     made = neighbours.synthetic_minority(one, "id", ["a", "b"], F.col("extra") > 0, need=3)
     assert made.count() == 3 and {r["id"] for r in made.collect()} == {"x", "z"}
+
+
+@pytest.mark.parametrize("kind", ["loose", "grid", "copies", "infinite"])
+def test_closest_compares_few_points(monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    points = {"loose": rng.normal(size=(6000, 3)), "grid": rng.integers(0, 12, size=(6000, 3)) / 7, "copies": np.repeat(rng.normal(size=(1000, 3)), 6, axis=0)}
+    points = points.get(kind, np.vstack([rng.normal(size=(5999, 3)), [[np.inf, 0, 0]]]))
+    queries, compared, whole = points[:500], [], neighbours.distances
+
+    def counted(*args):
+        for at, far in whole(*args):
+            compared.append(far.size)
+            yield at, far
+
+    monkeypatch.setattr(neighbours, "distances", counted)
+    query, far, place = neighbours.closest(queries, points, 6)
+    with np.errstate(invalid="ignore"):
+        gaps = queries[:, None, :] - points
+    all_far = (gaps[:, :, 0] * gaps[:, :, 0] + gaps[:, :, 1] * gaps[:, :, 1]) + gaps[:, :, 2] * gaps[:, :, 2]
+    want = np.argsort(all_far, axis=1, kind="stable")[:, :6]
+    assert (place.reshape(-1, 6) == want).all() and (query == np.repeat(np.arange(500), 6)).all()
+    assert (far == np.take_along_axis(all_far, want, axis=1).ravel()).all()
+    assert kind == "infinite" or sum(compared) < 0.3 * all_far.size
+    limit = np.sort(all_far, axis=1)[:, 2]
+    if kind != "infinite":
+        query, far, place = neighbours.closest(queries, points, 6, limit)
+        kept = [[j for j in row if all_far[i, j] <= limit[i]] for i, row in enumerate(want)]
+        assert place.tolist() == [j for row in kept for j in row] and (far <= limit[query]).all()
