@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import clip, sentences, word_count, words
-from statloom.runtime import fixed, lookup
 
 NO_TOPIC = "NO_TOPIC"
 
+PART_CHARS = 8_000_000
+"""Characters of text, times the lengths of terms, that ``tf_idf`` aims at for one part."""
+
 # Frequent English function words.
 STOP_WORDS = (
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or our she so that the "
@@ -101,25 +103,41 @@ def grams(split: Column, n: int) -> Column:
     return F.when(F.size(split) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def gram_terms(text: Column, lengths: Sequence[int]) -> Column:
+    """All runs of as many lower-case words as ``lengths`` names."""
+    split = words(F.lower(text))
+    if list(lengths) == [1]:
+        return split
+    # As the only item of an array, so that a text is split once.
+    return F.flatten(F.transform(F.array(split), lambda w: F.concat(*[grams(w, n) for n in lengths])))
+
+
 def tf_idf(df: DataFrame, key: str, text: str, lengths: Sequence[int] = (1,)) -> DataFrame:
     """Term weight count * ln((N + 1) / (documents + 1)) per document and term.
 
-    Terms are runs of as many words as ``lengths`` names: (1, 2) takes words and pairs of neighbours. The counts per
-    document are written once, as they are needed both for the document frequencies and for the weights and cost a pass
-    over all texts.
+    Terms are runs of as many words as ``lengths`` names: (1, 2) takes words and pairs of neighbours. Not the terms of the
+    documents are shuffled but their texts, by a hash of the key into parts of about ``PART_CHARS`` characters, and for each
+    part its distinct terms: to sum up their documents and, beside the texts once more, to bring back the sums of those that
+    other parts have too. So a frequent term moves once per part.
     """
-    n = df.count()
-    if list(lengths) == [1]:
-        terms = tokens(df, key, text)
-    else:
-        split = df.select(key, words(F.lower(text)).alias("_w"))
-        terms = split.select(key, F.explode(F.concat(*[grams(F.col("_w"), i) for i in lengths])).alias("term"))
-    per_doc = fixed(terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    docs = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = lookup(per_doc, docs, ["term"], spread=[key])
-    return weighted.select(
-        key, "term", (F.col("tf") * F.log(F.lit(float(n + 1)) / (F.col("df") + 1))).alias("weight")
-    )
+    totals = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(text).cast("bigint") * len(lengths)).alias("chars")).first()
+    n, parts = totals["n"], 1 + (totals["chars"] or 0) // PART_CHARS
+    texts = df.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_part"), F.col(key), F.col(text).alias("_text"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(parts, F.col("_part"))
+
+    all_terms = gram_terms(F.col("_text"), lengths)
+    per_doc = dealt(texts).select("_part", key, F.explode(all_terms).alias("term")).groupBy("_part", key, "term").agg(F.count(F.lit(1)).alias("_tf"))
+    held = per_doc.groupBy("_part", "term").agg(F.count(F.lit(1)).alias("_df"))
+    held = held.withColumn("_all", F.sum("_df").over(Window.partitionBy("term"))).where(F.col("_all") > F.col("_df"))
+    held = held.select("_part", F.col("term").alias("_text"), F.col("_all").alias("_df"))
+    both = dealt(texts.unionByName(held, allowMissingColumns=True))
+    listed = F.explode(F.when(F.col("_df").isNull(), all_terms).otherwise(F.array("_text")))
+    both = both.select("_part", key, "_df", listed.alias("term")).groupBy("_part", key, "term", "_df").agg(F.count(F.lit(1)).alias("_tf"))
+    here = Window.partitionBy("term", "_part")  # terms first: they sort faster
+    both = both.withColumn("_docs", F.coalesce(F.max("_df").over(here), F.count(F.lit(1)).over(here))).where(F.col("_df").isNull())
+    return both.select(key, "term", (F.col("_tf") * F.log(F.lit(float(n + 1)) / (F.col("_docs") + 1))).alias("weight"))
 
 
 def top_terms(weights: DataFrame, key: str, k: int) -> DataFrame:
