@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.learning.machines import FourierMachines
 from statloom.learning.metrics import binary_metrics, macro_metrics, regression_metrics
 from statloom.operators.describe import stack
 from statloom.operators.frequency import class_weights
@@ -50,35 +48,13 @@ def with_class_weight(df: DataFrame, target: str) -> DataFrame:
     return lookup(df, class_weights(df, target).select(target, "weight"), [target])
 
 
-def fourier_features(df: DataFrame, size: int, dims: int = 200, gamma: float | None = None, seed: int = SEED) -> DataFrame:
-    """Random Fourier features of ``features`` (Rahimi and Recht 2007) as ``mapped``.
-
-    A linear model on them approximates a radial-basis kernel machine without the
-    kernel matrix. The random projection is fixed by the seed on every executor.
-    """
-    rng = np.random.default_rng(seed)
-    g = 1.0 / size if gamma is None else gamma
-    weights = rng.normal(scale=np.sqrt(2 * g), size=(size, dims))
-    shift = rng.uniform(0, 2 * np.pi, size=dims)
-
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        z = np.sqrt(2.0 / dims) * np.cos(np.vstack(x.to_numpy()) @ weights + shift) if len(x) else np.empty((0, dims))
-        return pd.Series(list(z))
-
-    return df.withColumn("mapped", array_to_vector(project(vector_to_array("features"))))
-
-
-def classifiers(trees: int = 120, classes: int = 2, weighted: bool = True) -> dict[str, tuple[Estimator, str]]:
-    """The baseline classifiers with the feature column each one reads."""
+def classifiers(trees: int = 120, classes: int = 2, weighted: bool = True) -> dict[str, tuple[Estimator | FourierMachines, str]]:
+    """The baseline classifiers with the features each one learns from: ``mapped`` are Fourier features that it makes itself."""
     weight = {"weightCol": "weight"} if weighted else {}
-    svm = LinearSVC(featuresCol="mapped", maxIter=50, regParam=1e-3, weightCol="weight")
-    if classes > 2:
-        svm = OneVsRest(classifier=svm, featuresCol="mapped", weightCol="weight")
     return {
         "logistic_regression": (LogisticRegression(maxIter=100, **weight), "features"),
         "random_forest": (RandomForestClassifier(numTrees=trees, seed=SEED, weightCol="weight"), "features"),
-        "svm_rbf": (svm, "mapped"),
+        "svm_rbf": (FourierMachines(SEED, classes), "mapped"),
     }
 
 
@@ -108,12 +84,8 @@ def fit_classifier(
     name: str, train: DataFrame, test: DataFrame, trees: int = 120, classes: int = 2, weighted: bool = True
 ) -> DataFrame:
     """Predictions of one baseline classifier on prepared rows (``features``, ``label``)."""
-    estimator, source = classifiers(trees, classes, weighted)[name]
-    train = with_class_weight(train, "label")
-    if source == "mapped":
-        size = len(train.select(vector_to_array("features").alias("f")).first()["f"])
-        train, test = fourier_features(train, size), fourier_features(test, size)
-    return estimator.fit(train).transform(test)
+    estimator, _ = classifiers(trees, classes, weighted)[name]
+    return estimator.fit(with_class_weight(train, "label")).transform(test)
 
 
 def prepare(
