@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from statloom.functions.scalars import clip, sentences, word_count, words
 
@@ -15,6 +20,12 @@ NO_TOPIC = "NO_TOPIC"
 PART_CHARS = 8_000_000
 """Characters of text, times the lengths of terms, that ``tf_idf`` aims at for one part."""
 
+PART_WORDS = 4_000_000
+"""Words of a part beyond which ``count_terms`` merges equal ones before it reads on."""
+
+BATCH_ROWS = 10_000
+"""Rows of counts that ``count_terms`` hands on at once."""
+
 # Frequent English function words.
 STOP_WORDS = (
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or our she so that the "
@@ -112,31 +123,90 @@ def gram_terms(text: Column, lengths: Sequence[int]) -> Column:
     return F.flatten(F.transform(F.array(split), lambda w: F.concat(*[grams(w, n) for n in lengths])))
 
 
+def count_terms(batches: Iterator[pa.RecordBatch], by_key: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of the terms of a part, whose rows are texts (part, key, null, terms) and known sums (part, null, documents, [term]).
+
+    One row for each key and term, or only one for each term, without key, count and known sum.
+    """
+    held, waiting = [], 0
+    for batch in batches:
+        part, key, df, listed = batch.columns
+        row = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False)))
+        if not len(row):
+            continue
+        one = pa.array(np.ones(len(row), np.int64))
+        held.append(pa.table([*[c.take(row) for c in (part, key, df)], listed.flatten(), one], ["part", "key", "df", "term", "tf"]))
+        waiting += len(row)
+        if waiting > PART_WORDS:  # many rows of a frequent key
+            merged = pa.concat_tables(held).group_by(["part", "key", "df", "term"], use_threads=False).aggregate([("tf", "sum")])
+            held, waiting = [merged.rename_columns({"tf_sum": "tf"}).select(["part", "key", "df", "term", "tf"])], 0
+    if not held:
+        return
+    part, key, df, term, tf = (c.combine_chunks() for c in pa.concat_tables(held).columns)
+    key, term, tf = key.dictionary_encode("encode"), term.dictionary_encode(), tf.to_numpy()
+    places, which = np.unique(part.to_numpy().astype(np.int64), return_inverse=True)
+    # One number for a (part, key, term), and one for a (part, term).
+    width, wide = len(term.dictionary), len(key.dictionary)
+    spot = which * width + term.indices.to_numpy()
+    told = np.flatnonzero(df.is_valid().to_numpy(zero_copy_only=False))
+    sums = np.full(len(places) * width, -1, np.int64)
+    sums[spot[told]] = df.take(pa.array(told)).to_numpy()
+    texts = np.flatnonzero(~df.is_valid().to_numpy(zero_copy_only=False))
+    pairs, same = np.unique(spot[texts] * wide + key.indices.to_numpy()[texts], return_inverse=True)
+    counts = np.bincount(same, tf[texts]).astype(np.int64)
+    spot, key_at = pairs // wide, pairs % wide
+    documents = np.bincount(spot, minlength=len(sums))
+    if not by_key:
+        spot = np.flatnonzero(documents)
+        for at in range(0, len(spot), BATCH_ROWS):
+            some = spot[at : at + BATCH_ROWS]
+            found = [pa.array(places[some // width], pa.int32()), term.dictionary.take(pa.array(some % width)), pa.array(documents[some], pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, names=["_part", "term", "_df"])
+        return
+    here = documents[spot]
+    ordered = np.lexsort((spot, key_at))
+    spot, key_at, counts, here = spot[ordered], key_at[ordered], counts[ordered], here[ordered]
+    for at in range(0, len(spot), BATCH_ROWS):
+        cut = slice(at, at + BATCH_ROWS)
+        found = sums[spot[cut]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(places[spot[cut] // width], pa.int32()),
+                key.dictionary.take(pa.array(key_at[cut])),
+                term.dictionary.take(pa.array(spot[cut] % width)),
+                pa.array(counts[cut], pa.int64()),
+                pa.array(here[cut], pa.int64()),
+                pa.array(found, pa.int64(), mask=found < 0),
+            ],
+            names=["_part", "_key", "term", "_tf", "_here", "_df"],
+        )
+
+
 def tf_idf(df: DataFrame, key: str, text: str, lengths: Sequence[int] = (1,)) -> DataFrame:
     """Term weight count * ln((N + 1) / (documents + 1)) per document and term.
 
     Terms are runs of as many words as ``lengths`` names: (1, 2) takes words and pairs of neighbours. Not the terms of the
     documents are shuffled but their texts, by a hash of the key into parts of about ``PART_CHARS`` characters, and for each
     part its distinct terms: to sum up their documents and, beside the texts once more, to bring back the sums of those that
-    other parts have too. So a frequent term moves once per part.
+    other parts have too. So a frequent term moves once per part. The words of a part are counted as numbers, not sorted as text.
     """
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(text).cast("bigint") * len(lengths)).alias("chars")).first()
     n, parts = totals["n"], 1 + (totals["chars"] or 0) // PART_CHARS
     texts = df.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_part"), F.col(key), F.col(text).alias("_text"))
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartitionById(parts, F.col("_part"))
+    def counted(rows: DataFrame, by_key: bool) -> DataFrame:
+        names = ["_part", key, "term", "_tf", "_here", "_df"] if by_key else ["_part", "term", "_df"]
+        kinds = {"_part": IntegerType(), key: df.schema[key].dataType, "term": StringType()}
+        schema = StructType([StructField(name, kinds.get(name, LongType())) for name in names])
+        terms = F.when(F.col("_df").isNull(), F.coalesce(gram_terms(F.col("_text"), lengths), F.array())).otherwise(F.array("_text"))
+        listed = rows.repartitionById(parts, F.col("_part")).select("_part", F.col(key), "_df", terms.alias("_terms"))
+        return listed.mapInArrow(partial(count_terms, by_key=by_key), schema)
 
-    all_terms = gram_terms(F.col("_text"), lengths)
-    per_doc = dealt(texts).select("_part", key, F.explode(all_terms).alias("term")).groupBy("_part", key, "term").agg(F.count(F.lit(1)).alias("_tf"))
-    held = per_doc.groupBy("_part", "term").agg(F.count(F.lit(1)).alias("_df"))
+    fresh = texts.withColumn("_df", F.lit(None).cast("bigint"))
+    held = counted(fresh, False)
     held = held.withColumn("_all", F.sum("_df").over(Window.partitionBy("term"))).where(F.col("_all") > F.col("_df"))
     held = held.select("_part", F.col("term").alias("_text"), F.col("_all").alias("_df"))
-    both = dealt(texts.unionByName(held, allowMissingColumns=True))
-    listed = F.explode(F.when(F.col("_df").isNull(), all_terms).otherwise(F.array("_text")))
-    both = both.select("_part", key, "_df", listed.alias("term")).groupBy("_part", key, "term", "_df").agg(F.count(F.lit(1)).alias("_tf"))
-    here = Window.partitionBy("term", "_part")  # terms first: they sort faster
-    both = both.withColumn("_docs", F.coalesce(F.max("_df").over(here), F.count(F.lit(1)).over(here))).where(F.col("_df").isNull())
+    both = counted(fresh.unionByName(held, allowMissingColumns=True), True).withColumn("_docs", F.coalesce("_df", "_here"))
     return both.select(key, "term", (F.col("_tf") * F.log(F.lit(float(n + 1)) / (F.col("_docs") + 1))).alias("weight"))
 
 

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from statloom.operators import text
@@ -32,3 +33,17 @@ def test_weights_by_parts(spark, monkeypatch, chars, lengths):
     top = text.top_terms(weights, "k", 3).collect()
     best = lambda k: sorted((-w, t) for (d, t), w in want.items() if d == k)[:3]
     assert {k: [t for _, t in best(k)] for k in counts if counts[k]} == {k: [r["term"] for r in sorted(top, key=lambda r: r["rank"]) if r["k"] == k] for k in counts if counts[k]}
+
+
+def test_words_of_a_frequent_key_are_merged(spark, monkeypatch):
+    """Terms are counted as numbers in Arrow batches, not exploded into rows; a frequent key is merged on the way."""
+    rows = [(None if i % 2 else i, f"a b a w{i % 7}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    assert "Generate" not in text.tf_idf(df, "k", "t")._jdf.queryExecution().toString()
+    batches = [pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int32()), pa.array([None, 1, None], pa.int32()), pa.nulls(3, pa.int64()), pa.array([["a", "b", "a"], ["a"], []])], names=["p", "k", "d", "t"])] * 50
+    want = [(0, None, "a", 100, 2, None), (0, 1, "a", 50, 2, None), (0, None, "b", 50, 1, None)]
+    for words in (10, 10**6):
+        monkeypatch.setattr(text, "PART_WORDS", words)
+        got = [tuple(r.values()) for b in text.count_terms(iter(batches), True) for r in b.to_pylist()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert sorted(tuple(r.values()) for b in text.count_terms(iter(batches), False) for r in b.to_pylist()) == [(0, "a", 2), (0, "b", 1)]
