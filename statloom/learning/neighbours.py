@@ -18,8 +18,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.functions.scalars import without_nan
 from statloom.operators.sampling import marked
@@ -148,18 +151,33 @@ def closest(queries: np.ndarray, points: np.ndarray, k: int, within: np.ndarray
     return query[best], far[best], place[best]
 
 
-def _compare(k: int):
-    """Visitors of a cell (home, x, within) against its points (keys, x): (home, far, near), one row for each neighbour."""
+def _matrix(columns: Sequence) -> np.ndarray:
+    """Feature columns side by side, as rows of a matrix."""
+    return np.column_stack([np.asarray(c, float) for c in columns])
 
-    def run(visitors: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"home": visitors["home"][:0], "far": np.zeros(0), "near": visitors["home"][:0], "near_x": visitors["x"][:0]})
-        if not len(visitors) or not len(held):
-            return empty
-        rows = held.explode("keys").sort_values("keys", kind="stable")
-        points, keys, xs = np.vstack(rows["x"].to_numpy()), rows["keys"].to_numpy(), rows["x"].to_numpy()
-        within = None if visitors["within"].isna().all() else visitors["within"].to_numpy(float)
-        query, far, place = closest(np.vstack(visitors["x"].to_numpy()), points, k, within)
-        return pd.DataFrame({"home": visitors["home"].to_numpy()[query], "far": far, "near": keys[place], "near_x": xs[place]})
+
+def _compare(k: int, features: Sequence[str], keep: Sequence[str]):
+    """Visitors of a cell (``features``, within if they state a radius) against its points (``features``, keys).
+
+    Returns the ``keep`` columns of each visitor that has neighbours there and ``best``, the list of them.
+    """
+
+    def run(visitors: pa.Table, held: pa.Table) -> pa.Table:
+        keys = pa.concat_arrays(held["keys"].chunks) if held.num_rows else pa.array([], held.schema.field("keys").type)
+        near, parent = keys.flatten(), pc.list_parent_indices(keys).to_numpy()
+        order = pc.sort_indices(near).to_numpy()
+        near, at = near.take(pa.array(order)), parent[order]
+        points = _matrix([held[c] for c in features])[at]
+        query, far, place = np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+        if visitors.num_rows and len(points):
+            within = visitors["within"].to_numpy() if "within" in visitors.column_names else None
+            query, far, place = closest(_matrix([visitors[c] for c in features]), points, k, within)
+        met, first = np.unique(query, return_index=True)
+        ends = pa.array(np.arange(len(query) + 1) * len(features), pa.int32())
+        near_x = pa.ListArray.from_arrays(ends, pa.array(points[place].ravel()))
+        entries = pa.StructArray.from_arrays([pa.array(far), near.take(pa.array(place)), near_x], ["far", "near", "near_x"])
+        best = pa.ListArray.from_arrays(pa.array(np.append(first, len(query)), pa.int32()), entries)
+        return visitors.select(list(keep)).take(pa.array(met)).append_column("best", best)
 
     return run
 
@@ -170,56 +188,59 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int = 5, cell_r
     ``key`` identifies a row; ``x`` is the array of its features and ``neighbours`` an array of (far: squared distance, near: key,
     near_x: array), nearest first, with fewer than ``k`` entries where there are fewer other rows.
     """
-    kind = df.schema[key].dataType.simpleString()
-    x = F.array(*[F.col(c).cast("double") + 0.0 for c in features])
+    entry = T.StructType().add("far", "double").add("near", df.schema[key].dataType).add("near_x", T.ArrayType(T.DoubleType()))
+    shape = T.StructField("best", T.ArrayType(entry))
+    xs = [f"_x{i}" for i in range(len(features))]
     whole = without_nan(df.select(key, *features), features).dropna(subset=[key, *features])
-    rows = fixed(whole.select(F.col(key).alias("_key"), x.alias("x")))
-    place = F.row_number().over(Window.partitionBy("x").orderBy("_key"))
+    rows = fixed(whole.select(F.col(key).alias("_key"), *[(F.col(c).cast("double") + 0.0).alias(x) for c, x in zip(features, xs)]))
+    place = F.row_number().over(Window.partitionBy(*xs).orderBy("_key"))
     points = rows.withColumn("_place", place).where(F.col("_place") <= k + 1)
-    points = points.groupBy("x").agg(F.sort_array(F.collect_list("_key")).alias("keys"))
+    points = points.groupBy(*xs).agg(F.sort_array(F.collect_list("_key")).alias("keys"))
     points = fixed(points.withColumn("home", F.col("keys")[0]))
 
     n = points.count()
     depth = min(max(0, int(np.ceil(np.log2(max(n, 1) / (cell_rows or CELL_ROWS))))), int(np.log2(MOST_CELLS)))
     wanted = SAMPLE_PER_CELL * 2**depth
     drawn = points.where(F.pmod(F.xxhash64("home"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, wanted / max(n, 1))) + 1)
-    drawn = drawn.select("x").limit(2 * wanted).toPandas()["x"] if depth else []
-    cells = Cells(np.vstack(drawn) if len(drawn) else np.zeros((0, len(features))), depth)
+    drawn = drawn.select(*xs).limit(2 * wanted).toPandas().to_numpy(float) if depth else np.zeros((0, len(xs)))
+    cells = Cells(drawn, depth)
 
     @F.pandas_udf("int")
-    def home_cell(x: pd.Series) -> pd.Series:
-        return pd.Series(cells.home(np.vstack(x.to_numpy())) if len(x) else np.zeros(0, int))
+    def home_cell(*x: pd.Series) -> pd.Series:
+        return pd.Series(cells.home(_matrix(x)))
 
     @F.pandas_udf("array<int>")
-    def other_cells(x: pd.Series, far: pd.Series) -> pd.Series:
-        return pd.Series(cells.touched(np.vstack(x.to_numpy()), far.to_numpy()) if len(x) else [])
+    def other_cells(far: pd.Series, *x: pd.Series) -> pd.Series:
+        return pd.Series(cells.touched(_matrix(x), far.to_numpy()))
 
-    points = fixed(points.withColumn("cell", home_cell("x")))
+    points = fixed(points.withColumn("cell", home_cell(*xs)))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shape = f"home {kind}, far double, near {kind}, near_x array<double>"
 
-    def meet(visitors: DataFrame) -> DataFrame:
+    def meet(visitors: DataFrame, *keep: str) -> DataFrame:
         most = visitors.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
         slices = 1 + most // VISITORS
-        held = points.select("cell", "keys", "x", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+        held = points.select("cell", "keys", *xs, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
         cut = visitors.withColumn("slice", F.pmod(F.xxhash64("home"), F.lit(slices)).cast("int"))
         # Few bytes, much work: a stated number of partitions is not coalesced.
         sides = [side.repartition(tasks, "cell", "slice").groupBy("cell", "slice") for side in (cut, held)]
-        return sides[0].cogroup(sides[1]).applyInPandas(_compare(k + 1), shape)
+        made = T.StructType([*[visitors.schema[c] for c in keep], shape])
+        return sides[0].cogroup(sides[1]).applyInArrow(_compare(k + 1, xs, keep), made)
 
-    found = fixed(meet(points.select("cell", "home", "x", F.lit(None).cast("double").alias("within"))))
+    # What the cells found is met by several later steps: fixed, so that no comparison is made twice.
+    own = fixed(meet(points, "home", "keys", *xs))
+    found = own.select("home", "best")
     if depth:
-        radius = F.when(F.count(F.lit(1)) > k, F.max("far")).otherwise(F.lit(float("inf")))
-        reach = points.select("home", "x").join(found.groupBy("home").agg(radius.alias("far")), "home")
-        visits = fixed(reach.select("home", "x", F.col("far").alias("within"), F.explode(other_cells("x", "far")).alias("cell")))
-        found = found.unionByName(meet(visits))
-    rank = F.row_number().over(Window.partitionBy("home").orderBy("far", "near"))
-    best = found.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
-    best = best.groupBy("home").agg(F.sort_array(F.collect_list(F.struct("_rank", "far", "near", "near_x"))).alias("all"))
-    best = points.select("home", "x").join(best, "home").select("x", "all")
+        radius = F.when(F.size("best") > k, F.col("best")[k]["far"]).otherwise(F.lit(float("inf")))
+        reach = own.select("home", *xs, radius.alias("within"))
+        visits = fixed(reach.withColumn("cell", F.explode(other_cells("within", *xs))))
+        found = found.unionByName(meet(visits, "home"))
+    best = found.groupBy("home").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 1).alias("all"))
+    best = fixed(own.select("home", "keys", *xs).join(best, "home").drop("home"))
     others = F.slice(F.filter("all", lambda e: e["near"] != F.col("_key")), 1, k)
-    listed = F.transform(others, lambda e: F.struct(e["far"].alias("far"), e["near"].alias("near"), e["near_x"].alias("near_x")))
-    return lookup(rows, best, ["x"], spread=["_key"]).select(F.col("_key").alias(key), "x", listed.alias("neighbours"))
+    # The keys of a point are all its rows unless there are k + 1 of them.
+    few = best.where(F.size("keys") <= k).withColumn("_key", F.explode("keys")).drop("keys")
+    many = lookup(rows, best.where(F.size("keys") > k).drop("keys"), xs, spread=["_key"])
+    return few.unionByName(many).select(F.col("_key").alias(key), F.array(*xs).alias("x"), others.alias("neighbours"))
 
 
 def _digits(digest: str, start: int) -> Column:
@@ -239,7 +260,7 @@ def synthetic_minority(
     """
     features = list(features)
     rows = without_nan(df.select(key, *features, F.coalesce(minority, F.lit(False)).alias("_minor")), features)
-    rows = rows.dropna(subset=[key, *features]).withColumns({c: F.col(c).cast("double") for c in features})
+    rows = fixed(rows.dropna(subset=[key, *features]).withColumns({c: F.col(c).cast("double") for c in features}))
     sums = rows.agg(
         F.count(F.lit(1)).alias("n"), F.count_if("_minor").alias("minor"), *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(features)]
     ).first()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statloom.learning import neighbours
 from statloom.queries.registry import query, table
+from statloom.runtime import fixed
 
 FEATURES = ["price", "quantity", "day"]
 
@@ -50,7 +51,7 @@ def q_synthetic_minority(spark, sf):
 
 @query(f"WITH {ORDERS} SELECT k AS o_orderkey, rank::INTEGER AS rank, near AS neighbour, sqrt(far) AS distance FROM nn")
 def q_nearest_neighbours(spark, sf):
-    rows = orders(spark, sf)
+    rows = fixed(orders(spark, sf))
     scale = rows.agg(*[F.stddev_pop(c).alias(c) for c in FEATURES]).first()
     rows = rows.where("urgent").select("o_orderkey", *[(F.col(c) / (scale[c] or 1.0)).alias(c) for c in FEATURES])
     near = neighbours.nearest(rows, "o_orderkey", FEATURES)

@@ -1,5 +1,7 @@
 """Nearest neighbours against brute force, and the synthetic rows made of them."""
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -84,6 +86,34 @@ def test_edges(spark):
     assert made.count() == 3 and {r["id"] for r in made.collect()} == {"x", "z"}
 
 
+def test_cells_are_compared_once(spark, points, monkeypatch):
+    compared, whole = spark.sparkContext.accumulator(0), neighbours._compare
+
+    def counted(*args):
+        run = whole(*args)
+
+        def count(visitors, held):
+            compared.add(len(visitors))
+            return run(visitors, held)
+
+        return count
+
+    monkeypatch.setattr(neighbours, "_compare", counted)
+    monkeypatch.setattr(neighbours, "lookup", partial(neighbours.lookup, max_rows=10))  # as many points: no table is held on the driver
+    marked = points[1].withColumn("minor", F.col("id") % 3 == 0)
+    made = neighbours.synthetic_minority(marked, "id", COLUMNS, F.col("minor"), 3, need=500, cell_rows=40)
+    first = compared.value
+    assert made.count() == len(made.collect()) == 500
+    assert first > 0 and compared.value == first
+
+
+def test_crowded_points_name_all_their_rows(spark):
+    """Points of fewer, just as many and more rows than a point lists, with text keys."""
+    pdf = pd.DataFrame({"id": [f"k{i:02d}" for i in range(23)], "a": np.repeat([0.0, 1.0, 3.0, 7.0, 8.0], [1, 4, 5, 6, 7]), "b": 0.0, "c": -0.0})
+    got = {r["id"]: [e["near"] for e in r["neighbours"]] for r in neighbours.nearest(spark.createDataFrame(pdf), "id", COLUMNS, 4).collect()}
+    assert got == brute(pdf, 4)
+
+
 @pytest.mark.parametrize("kind", ["loose", "grid", "copies", "infinite"])
 def test_closest_compares_few_points(monkeypatch, kind):
     rng = np.random.default_rng(3)
